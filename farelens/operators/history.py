@@ -11,7 +11,7 @@ from farelens.operators.joins import left_lookup
 from farelens.schema import DRIVER_HISTORY_FIELDS, USER_HISTORY_FIELDS, history_ddl
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Side:
     """Names and rules of one history table."""
 

@@ -204,9 +204,8 @@ def zone_report(recommendations: DataFrame) -> DataFrame:
     highest = F.array_max(
         F.transform(zones, lambda z: F.struct(z["zone_id"].alias("id"), _high(z).alias("high")))
     )["high"]
-    rows = recommendations.select(
-        "order_id", "zones", highest.alias("_last_high"), F.inline(listed)
-    )
+    bounded = recommendations.select("order_id", "zones", highest.alias("_last_high"))
+    rows = bounded.select("*", F.inline(listed))
     own = F.get(F.filter(zones, lambda z: z["zone_id"] == F.col("zone_id")), F.lit(0))
     staged = rows.withColumn("_zone", own)
     zone, there = F.col("_zone"), F.col("_zone").isNotNull()

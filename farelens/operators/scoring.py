@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from farelens.functions import clock, fare
 from farelens.functions.missing import num
@@ -57,13 +57,16 @@ def score_model(model: PipelineModel) -> Scorer:
     inputs = (*ORDER_FIELDS, *USER.served, *DRIVER.served)
 
     def score(points: DataFrame) -> DataFrame:
-        packed = points.withColumn("point_row", F.struct("*"))
-        scored = model.transform(serving_features(packed, keep=("point_row",)))
-        return scored.select("point_row.*", class_probability().alias("probability"))
+        # Plain renames, so that Spark still knows how the orders are placed.
+        kept = {c: f"kept_{c}" for c in points.columns}
+        renamed = points.withColumns({k: F.col(c) for c, k in kept.items()})
+        scored = model.transform(serving_features(renamed, keep=tuple(kept.values())))
+        back = [F.col(k).alias(c) for c, k in kept.items()]
+        return scored.select(*back, class_probability().alias("probability"))
 
     return Scorer(inputs, score)
 
 
-def class_probability(column: str = "calibrated"):
+def class_probability(column: str = "calibrated") -> Column:
     """Probability of acceptance out of the model's probability vector."""
     return vector_to_array(F.col(column))[1]

@@ -159,6 +159,26 @@ class ColumnStats:
     high: float | None
 
 
+def column_moments(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, Row]]:
+    """Rows of the frame, and count, mean and variance of each column.
+
+    Values are folded by column number. One aggregate with several buffers per
+    column would outgrow what the JVM compiles; this one keeps five.
+    """
+    values = df.select(F.posexplode(F.array(*columns)).alias("at", "value"))
+    folded = values.groupBy("at").agg(
+        F.count("*").alias("rows"),
+        F.count("value").alias("n"),
+        F.avg("value").alias("mean"),
+        F.var_samp("value").alias("variance"),
+    )
+    found = {columns[r["at"]]: r for r in folded.collect()}
+    if not found:
+        empty = Row(rows=0, n=0, mean=None, variance=None)
+        return 0, {c: empty for c in columns}
+    return found[columns[0]]["rows"], found
+
+
 def fit_statistics(
     df: DataFrame, columns: list[str], width: float = 10.0, impute_only: bool = False
 ) -> dict[str, ColumnStats]:
@@ -169,13 +189,8 @@ def fit_statistics(
     follow from the parts, so the filled table is never scanned.
     """
     usable = df.select(*[finite_or_null(F.col(c)).alias(c) for c in columns])
-    aggs = [F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"{c}__n") for c in columns]]
-    if not impute_only:
-        aggs += [F.avg(c).alias(f"{c}__avg") for c in columns]
-        aggs += [F.var_samp(c).alias(f"{c}__var") for c in columns]
-    seen = usable.agg(*aggs).first().asDict()
-    rows = seen["_rows"]
-    counts = {c: seen[f"{c}__n"] for c in columns}
+    rows, moments = column_moments(usable, columns)
+    counts = {c: moments[c]["n"] for c in columns}
     lacking = [c for c in columns if counts[c] < rows]
     medians = exact_quantiles(usable, lacking, 0.5, counts) if lacking else {}
 
@@ -186,8 +201,8 @@ def fit_statistics(
         n, missing = counts[c], rows - counts[c]
         low = high = None
         if not impute_only and rows > 1:
-            mean = seen[f"{c}__avg"] if n else 0.0
-            spread = (seen[f"{c}__var"] or 0.0) * (n - 1) if n > 1 else 0.0
+            mean = moments[c]["mean"] if n else 0.0
+            spread = (moments[c]["variance"] or 0.0) * (n - 1) if n > 1 else 0.0
             if missing and n:
                 spread += (fill - mean) ** 2 * n * missing / rows
                 mean += (fill - mean) * missing / rows

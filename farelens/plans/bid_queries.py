@@ -352,7 +352,7 @@ _FUEL = "distance_in_meters / 1000e0 * 9e0 / 100e0"
 @query(
     "fuel_cost",
     f"""SELECT {K}, round({_FUEL}, 6) AS fuel_liters, round({_FUEL} * 55e0, 6) AS fuel_cost_rub,
- round(distance_in_meters / 1000e0 * 12e0 / 100e0 * 60e0, 6) AS thirsty_cost, round({_FUEL} * 55e0, 2) AS shown_cost FROM bids""",
+ round(distance_in_meters / 1000e0 * 12e0 / 100e0 * 60e0, 6) AS thirsty_cost, money({_FUEL} * 55e0) AS shown_cost FROM bids""",
 )
 def _fuel_cost(d: Data) -> DataFrame:
     metres = num("distance_in_meters")
@@ -470,7 +470,7 @@ def _non_finite_to_null(d: Data) -> DataFrame:
     "check_columns",
     " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, {c != 'platform'} AS is_present,"
-        f" {'0' if c == 'platform' else f'count({c})'} AS n_filled FROM bids "
+        f" count({'NULL' if c == 'platform' else c}) AS n_filled FROM bids "
         for c in orders.REQUIRED_BID_COLUMNS
     ),
 )

@@ -78,7 +78,11 @@ def _clipped(source: str, columns: tuple[str, ...]) -> str:
     """Clamp of each column of ``source`` to its own mean and ten deviations."""
     stats = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in columns)
     clamped = ", ".join(
-        f"round(CASE WHEN s_{c} > 0 THEN least(greatest({c}, m_{c} - 10 * s_{c}), m_{c} + 10 * s_{c}) ELSE {c} END, 4) + 0e0 AS {c}"
+        o.exact(
+            f"CASE WHEN s_{c} > 0 THEN least(greatest({c}, m_{c} - 10 * s_{c}), m_{c} + 10 * s_{c}) ELSE {c} END",
+            4,
+        )
+        + f" AS {c}"
         for c in columns
     )
     keys = ", ".join(_KK)

@@ -47,7 +47,7 @@ def _scan_bids(d: Data) -> DataFrame:
 
 @query(
     "scan_first_existing",
-    f"SELECT platform, carname, count(*) AS n_rows, count(user_id) AS n_users, round(sum(price_bid_local), 2) AS total FROM bids GROUP BY platform, carname",
+    f"SELECT platform, carname, count(*) AS n_rows, count(user_id) AS n_users, money(sum(price_bid_local)) AS total FROM bids GROUP BY platform, carname",
 )
 def _scan_first_existing(d: Data) -> DataFrame:
     absent = scratch_path(d.spark, "absent")

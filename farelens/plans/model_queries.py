@@ -17,7 +17,7 @@ from farelens.sources import predictions
 
 TEST_SIZE, SEED = 0.2, 42
 # Enough trees to rank better than chance, in reasonable time for a check.
-CHECK_SETTINGS = modelling.TreeSettings(iterations=20)
+CHECK_SETTINGS = modelling.TreeSettings(iterations=10)
 
 _ROW_TEXT = (
     "concat_ws('-', order_id, copy_no, line_no, driver_id, part_id, CAST(round(ext * 100) AS BIGINT))"
@@ -194,6 +194,6 @@ def _sink_feature_names(d: Data) -> DataFrame:
 
 @query("score_fn")
 def _score_fn(d: Data) -> DataFrame:
-    """Recommendations with the trained model as the scorer."""
+    """Recommendations with the trained model as the scorer, on a grid of 30 + 60 prices."""
     model, _ = fitted(d)
-    return flat_recommendation(recommend_batch(d.prepared, score_model(model)))
+    return flat_recommendation(recommend_batch(d.prepared, score_model(model), coarse=30, fine=60))

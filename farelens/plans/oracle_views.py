@@ -10,7 +10,7 @@ VIEWS: dict[str, str] = {}
 
 
 def view(name: str, body: str) -> None:
-    VIEWS[name] = body.strip()
+    VIEWS[name] = money(body.strip())
 
 
 def with_views(*names: str) -> str:
@@ -32,8 +32,35 @@ def _mentions(body: str, name: str) -> bool:
 
 
 def r(*names: str, digits: int = 6, prefix: str = "") -> str:
-    """Rounded columns under their own names; the added zero turns -0.0 into 0.0."""
-    return ", ".join(f"round({prefix}{n}, {digits}) + 0e0 AS {n}" for n in names)
+    """Rounded columns under their own names."""
+    return ", ".join(f"{exact(prefix + n, digits)} AS {n}" for n in names)
+
+
+def _closing(text: str, at: int) -> int:
+    depth = 0
+    for i in range(at, len(text)):
+        depth += (text[i] == "(") - (text[i] == ")")
+        if depth == 0:
+            return i
+    raise ValueError(text)
+
+
+def exact(value: str, digits: int) -> str:
+    """Rounding of the digits as they are written, half up.
+
+    DuckDB's own rounding of a DOUBLE multiplies first, which turns 1.00499... into
+    a tie; going through text does not.
+    """
+    return f"CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
+def money(sql: str) -> str:
+    """Spell out each ``money(x)``: rounding to two decimals."""
+    while (start := sql.rfind("money(")) >= 0:
+        end = _closing(sql, start + len("money"))
+        inner = sql[start + len("money(") : end]
+        sql = sql[:start] + exact(inner, 2) + sql[end + 1 :]
+    return sql
 
 
 KEY = "order_id, copy_no, line_no, driver_id, part_id, ext"
@@ -264,7 +291,7 @@ def _features(source: str, serving: bool) -> tuple[str, str]:
         days = "floor((epoch_us(ts) - epoch_us(CAST(driver_reg_date AS TIMESTAMP))) / 86400e6)"
         days = f"CASE WHEN {days} >= 0 THEN {days} ELSE 365e0 END"
         response = "30e0"
-        cost, litres = f"round({metres} / 1000e0 * 9e0 / 100e0 * 55e0, 2)", f"round({metres} / 1000e0 * 9e0 / 100e0, 2)"
+        cost, litres = f"money({metres} / 1000e0 * 9e0 / 100e0 * 55e0)", f"money({metres} / 1000e0 * 9e0 / 100e0)"
         above = "CASE WHEN min_profitable_price > 0 THEN (bid - min_profitable_price) / min_profitable_price * 100 ELSE 0e0 END"
         vs_user, vs_driver = "user_order_count * 20e0", "driver_bid_count * 10e0"
     else:
@@ -463,10 +490,10 @@ SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY price_min, config) A
  SELECT order_id, band AS zone_id,
   CASE band WHEN 3 THEN 'zone_3_green' WHEN 2 THEN 'zone_2_yellow_low' WHEN 4 THEN 'zone_4_yellow_high' ELSE 'zone_1_red_low' END AS zone_name,
   CASE band WHEN 3 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 2 ELSE 3 END AS config,
-  round(min(price), 2) AS price_min, round(max(price), 2) AS price_max,
-  round(avg(probability) * 100, 2) AS avg_probability_percent,
-  round(avg(normalized_probability) * 100, 2) AS avg_normalized_probability_percent,
-  round(avg(expected_value), 2) AS avg_expected_value
+  money(min(price)) AS price_min, money(max(price)) AS price_max,
+  money(avg(probability) * 100) AS avg_probability_percent,
+  money(avg(normalized_probability) * 100) AS avg_normalized_probability_percent,
+  money(avg(expected_value)) AS avg_expected_value
  FROM curve WHERE is_valid AND band IS NOT NULL GROUP BY order_id, band) grouped
 """,
 )
@@ -474,19 +501,19 @@ view(
     "chosen",
     """
 SELECT b.order_id, b.distance_in_meters, b.price_start_local, b.scan_max,
- round(b.price, 2) AS price, round(b.probability * 100, 2) AS probability_percent,
- round(b.normalized_probability * 100, 2) AS normalized_probability_percent,
- round(b.expected_value, 2) AS expected_value,
+ money(b.price) AS price, money(b.probability * 100) AS probability_percent,
+ money(b.normalized_probability * 100) AS normalized_probability_percent,
+ money(b.expected_value) AS expected_value,
  coalesce((SELECT z.zone_id FROM zones z WHERE z.order_id = b.order_id AND z.zone_id =
    CASE WHEN b.probability >= 0.7e0 THEN 3 WHEN b.probability >= 0.5e0 THEN 2 WHEN b.probability >= 0.3e0 THEN 4 ELSE 1 END),
   f.zone_id, 3) AS zone_id,
- round(b.expected_value - round(b.distance_in_meters / 1000e0 * 9e0 / 100e0 * 55e0, 2), 2) AS net_profit,
- round(b.distance_in_meters / 1000e0 * 9e0 / 100e0 * 55e0, 2) AS fuel_cost,
- round(b.distance_in_meters / 1000e0 * 9e0 / 100e0, 2) AS fuel_liters,
- round(b.distance_in_meters / 1000e0, 2) AS distance_km,
- round(round(b.distance_in_meters / 1000e0 * 9e0 / 100e0 * 55e0, 2) * 1.3e0, 2) AS min_profitable_price,
- round(b.max_probability * 100, 2) AS max_probability_percent,
- round(l.max_probability_price, 2) AS max_probability_price
+ money(b.expected_value - money(b.distance_in_meters / 1000e0 * 9e0 / 100e0 * 55e0)) AS net_profit,
+ money(b.distance_in_meters / 1000e0 * 9e0 / 100e0 * 55e0) AS fuel_cost,
+ money(b.distance_in_meters / 1000e0 * 9e0 / 100e0) AS fuel_liters,
+ money(b.distance_in_meters / 1000e0) AS distance_km,
+ money(money(b.distance_in_meters / 1000e0 * 9e0 / 100e0 * 55e0) * 1.3e0) AS min_profitable_price,
+ money(b.max_probability * 100) AS max_probability_percent,
+ money(l.max_probability_price) AS max_probability_price
 FROM best b JOIN likeliest l ON b.order_id = l.order_id
 LEFT JOIN (SELECT order_id, arg_max(zone_id, avg_probability_percent * 100 - position) AS zone_id FROM zones GROUP BY order_id) f
  ON b.order_id = f.order_id
@@ -495,8 +522,8 @@ LEFT JOIN (SELECT order_id, arg_max(zone_id, avg_probability_percent * 100 - pos
 view(
     "axis",
     """
-SELECT c.*, coalesce(a.lowest, round(c.price_start_local, 2)) AS axis_min,
- CASE WHEN a.lowest IS NULL THEN greatest(round(c.price_start_local, 2) + 1, round(c.scan_max, 2))
+SELECT c.*, coalesce(a.lowest, money(c.price_start_local)) AS axis_min,
+ CASE WHEN a.lowest IS NULL THEN greatest(money(c.price_start_local) + 1, money(c.scan_max))
   WHEN a.red THEN a.highest + greatest((a.highest - a.lowest) * 0.15e0, 50e0)
   ELSE a.highest + greatest((a.highest - a.lowest) * 0.3e0, 100e0) END AS axis_max,
  5e0 AS axis_step, a.lowest AS zones_min, a.highest AS zones_max

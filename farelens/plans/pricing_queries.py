@@ -299,7 +299,7 @@ _FLAT = (
     "max_probability_percent", "max_probability_price",
 )
 FLAT_SQL = f"""SELECT c.order_id, {', '.join('c.' + n for n in _FLAT)}, c.zone_id,
- round(c.price_start_local, 2) AS scan_low, round(c.scan_max, 2) AS scan_high,
+ money(c.price_start_local) AS scan_low, money(c.scan_max) AS scan_high,
  coalesce(z.described, '') AS zones
 FROM chosen c LEFT JOIN (SELECT order_id, string_agg(zone_id || ':' || CAST(CAST(round(price_min * 100, 0) AS BIGINT) AS VARCHAR)
   || '-' || CAST(CAST(round(price_max * 100, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY position) AS described FROM zones GROUP BY order_id) z
@@ -359,7 +359,7 @@ def _fuel_economics(d: Data) -> DataFrame:
 @query(
     "scan_analysis",
     """SELECT order_id, price_start_local AS start_price, max_probability_percent, max_probability_price,
- round(price_start_local, 2) AS scan_low, round(scan_max, 2) AS scan_high FROM chosen""",
+ money(price_start_local) AS scan_low, money(scan_max) AS scan_high FROM chosen""",
 )
 def _scan_analysis(d: Data) -> DataFrame:
     return d.recommended.select(
@@ -481,11 +481,16 @@ def _quote_tail(d: Data) -> DataFrame:
 
 @query(
     "quote_ev",
-    """SELECT order_id, probe, round(CASE place WHEN 'inside' THEN greatest(0e0, ask * quote_probability / 100)
- WHEN 'tail' THEN ask * quote_probability / 100 ELSE optimal_ev END, 6) + 0e0 AS quote_ev FROM quoted""",
+    "SELECT order_id, probe, "
+    + o.exact(
+        "CASE place WHEN 'inside' THEN greatest(0e0, ask * quote_probability / 100)"
+        " WHEN 'tail' THEN ask * quote_probability / 100 ELSE optimal_ev END",
+        4,
+    )
+    + " AS quote_ev FROM quoted",
 )
 def _quote_ev(d: Data) -> DataFrame:
-    return rounded(_quoted(d).select("order_id", "probe", "quote_ev"))
+    return rounded(_quoted(d).select("order_id", "probe", "quote_ev"), 4)
 
 
 @query(

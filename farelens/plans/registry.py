@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farelens.plans.data import Data
-from farelens.plans.oracle_views import VIEWS, _mentions, with_views
+from farelens.plans.oracle_views import VIEWS, _mentions, money, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def oracle_text(select: str) -> str:
-    return with_views(*[v for v in VIEWS if _mentions(select, v)]) + select.strip()
+    return with_views(*[v for v in VIEWS if _mentions(select, v)]) + money(select.strip())
 
 
 def query(key: str, sql: str | None = None):

@@ -21,9 +21,6 @@ def build_session(app: str = "farelens", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        # The feature table has 130 columns; the default of 100 would switch
-        # whole-stage code generation off for it.
-        "spark.sql.codegen.maxFields": "200",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
