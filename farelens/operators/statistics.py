@@ -154,7 +154,7 @@ def running_totals(
 class ColumnStats:
     """What imputation and clipping of one column need."""
 
-    fill: float
+    fill: float | None
     low: float | None
     high: float | None
 
@@ -165,7 +165,8 @@ def column_moments(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, Ro
     Values are folded by column number. One aggregate with several buffers per
     column would outgrow what the JVM compiles; this one keeps five.
     """
-    values = df.select(F.posexplode(F.array(*columns)).alias("at", "value"))
+    exploded = df.select(F.posexplode(F.array(*columns)).alias("at", "value"))
+    values = exploded.withColumn("value", finite_or_null(F.col("value")))
     folded = values.groupBy("at").agg(
         F.count("*").alias("rows"),
         F.count("value").alias("n"),
@@ -188,16 +189,15 @@ def fit_statistics(
     medians of those that have missing values. Mean and variance after filling
     follow from the parts, so the filled table is never scanned.
     """
-    usable = df.select(*[finite_or_null(F.col(c)).alias(c) for c in columns])
-    rows, moments = column_moments(usable, columns)
+    rows, moments = column_moments(df, columns)
     counts = {c: moments[c]["n"] for c in columns}
     lacking = [c for c in columns if counts[c] < rows]
+    usable = df.select(*[finite_or_null(F.col(c)).alias(c) for c in lacking])
     medians = exact_quantiles(usable, lacking, 0.5, counts) if lacking else {}
 
     stats = {}
     for c in columns:
-        fill = medians.get(c)
-        fill = 0.0 if fill is None else fill
+        fill = (medians[c] or 0.0) if c in medians else None
         n, missing = counts[c], rows - counts[c]
         low = high = None
         if not impute_only and rows > 1:
@@ -215,8 +215,9 @@ def fit_statistics(
 
 def impute(df: DataFrame, stats: dict[str, ColumnStats]) -> DataFrame:
     """Fill missing and infinite values with the column's median (or 0)."""
+    lacking = {c: s.fill for c, s in stats.items() if s.fill is not None}
     return df.withColumns(
-        {c: F.coalesce(finite_or_null(F.col(c)), F.lit(s.fill)) for c, s in stats.items()}
+        {c: F.coalesce(finite_or_null(F.col(c)), F.lit(v)) for c, v in lacking.items()}
     )
 
 

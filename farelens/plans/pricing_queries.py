@@ -483,14 +483,14 @@ def _quote_tail(d: Data) -> DataFrame:
     "quote_ev",
     "SELECT order_id, probe, "
     + o.exact(
-        "CASE place WHEN 'inside' THEN greatest(0e0, ask * quote_probability / 100)"
-        " WHEN 'tail' THEN ask * quote_probability / 100 ELSE optimal_ev END",
-        4,
+        "CASE place WHEN 'inside' THEN greatest(0e0, ask * (quote_probability / 100))"
+        " WHEN 'tail' THEN ask * (quote_probability / 100) ELSE optimal_ev END",
+        6,
     )
     + " AS quote_ev FROM quoted",
 )
 def _quote_ev(d: Data) -> DataFrame:
-    return rounded(_quoted(d).select("order_id", "probe", "quote_ev"), 4)
+    return rounded(_quoted(d).select("order_id", "probe", "quote_ev"))
 
 
 @query(

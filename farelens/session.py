@@ -21,6 +21,9 @@ def build_session(app: str = "farelens", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # The JVM does not compile methods beyond 8000 bytes of bytecode; above that,
+        # operators run faster outside whole-stage code generation.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():

@@ -57,6 +57,12 @@ def scan_first_existing(spark: SparkSession, paths: list[str]) -> DataFrame | No
     return None
 
 
+def spread_if_few(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores where the files have fewer splits; large inputs pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 # Order of the rows of one order in the bid view; unique within the order.
 VIEW_ROW_ORDER = ["copy_no", "line_no", "driver_id", "part_id", "ext"]
 
@@ -74,6 +80,7 @@ def bids_view(spark: SparkSession, folder: str) -> DataFrame:
         "o_custkey AS customer",
         "CAST(o_orderdate AS TIMESTAMP) AS order_date",
     )
+    lines = spread_if_few(lines, "order_id", "line_no", "part_id")
     base = lines.join(orders, "order_id").selectExpr(
         "order_id", "driver_id",
         "CASE WHEN customer % 97 = 0 THEN NULL ELSE customer END AS user_id",
