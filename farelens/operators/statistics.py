@@ -21,76 +21,71 @@ _ACCURACY = 10_000
 
 def exact_quantiles(
     df: DataFrame,
-    columns: list[str],
-    probability: float,
+    targets: dict[str, tuple[str, float]],
     counts: dict[str, int] | None = None,
     exact_rows: int = EXACT_ROWS,
 ) -> dict[str, float | None]:
-    """The linear-interpolation quantile of each column, nulls ignored.
+    """Linear-interpolation quantiles: name -> (column, probability), nulls ignored.
 
     Columns of up to ``exact_rows`` values are solved in one pass. For a longer
     one, an approximate percentile gives a bracket around the wanted rank, and
     only values inside the bracket go on; each pass shrinks it several
-    thousandfold, so two or three passes over the column are enough.
+    thousandfold, so two or three passes over the column are enough. All targets
+    share the passes.
     """
     if counts is None:
+        columns = sorted({c for c, _ in targets.values()})
         counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    found: dict[str, float | None] = {c: None for c in columns if counts[c] == 0}
-    # column -> (low, high, values below low, values inside)
-    open_ = {c: (None, None, 0, counts[c]) for c in columns if counts[c]}
-
-    def inside(c: str) -> Column:
-        low, high = open_[c][:2]
-        value = F.col(c)
+    # 0-based fractional place of each target among the column's values
+    place = {name: (counts[c] - 1) * p for name, (c, p) in targets.items()}
+    found: dict[str, float | None] = {n: None for n, (c, _) in targets.items() if not counts[c]}
+    # name -> (low, high, values below low, values inside)
+    open_ = {n: (None, None, 0, counts[c]) for n, (c, _) in targets.items() if counts[c]}
+
+    def inside(name: str) -> Column:
+        low, high = open_[name][:2]
+        value = F.col(targets[name][0])
         return value if low is None else F.when((value >= low) & (value <= high), value)
 
     while open_:
-        ready = [c for c in open_ if open_[c][3] <= exact_rows]
+        ready = [n for n, (*_, within) in open_.items() if within <= exact_rows]
         if ready:
             aggs = []
-            for c in ready:
-                _, _, below, within = open_[c]
-                place = (counts[c] - 1) * probability - below
-                share = place / (within - 1) if within > 1 else 0.0
-                share = min(max(share, 0.0), 1.0)
-                aggs.append(F.percentile(inside(c), share).alias(c))
+            for n in ready:
+                _, _, below, within = open_[n]
+                share = (place[n] - below) / (within - 1) if within > 1 else 0.0
+                aggs.append(F.percentile(inside(n), min(max(share, 0.0), 1.0)).alias(n))
             found |= df.agg(*aggs).first().asDict()
-            for c in ready:
-                del open_[c]
+            for n in ready:
+                del open_[n]
             continue
 
-        shares, aggs = {}, []
-        for c, (_, _, below, within) in open_.items():
-            place = (counts[c] - 1) * probability - below
-            margin = 3.0 / _ACCURACY
-            shares[c] = [
-                max(place / within - margin, 0.0),
-                min((place + 1) / within + margin, 1.0),
-            ]
-            aggs.append(
-                F.percentile_approx(inside(c), [F.lit(s) for s in shares[c]], _ACCURACY).alias(c)
-            )
+        margin, aggs = 3.0 / _ACCURACY, []
+        for n, (_, _, below, within) in open_.items():
+            at = place[n] - below
+            ends = [max(at / within - margin, 0.0), min((at + 1) / within + margin, 1.0)]
+            aggs.append(F.percentile_approx(inside(n), ends, _ACCURACY).alias(n))
         brackets = df.agg(*aggs).first().asDict()
         checks = []
-        for c in open_:
-            low, high = brackets[c]
-            checks.append(F.count_if(F.col(c) < low).alias(f"{c}__below"))
-            checks.append(F.count_if((F.col(c) >= low) & (F.col(c) <= high)).alias(f"{c}__in"))
+        for n in open_:
+            (low, high), value = brackets[n], F.col(targets[n][0])
+            checks.append(F.count_if(value < low).alias(f"{n}__below"))
+            checks.append(F.count_if((value >= low) & (value <= high)).alias(f"{n}__in"))
         sizes = df.agg(*checks).first().asDict()
-        for c in list(open_):
-            low, high = brackets[c]
-            below, within = sizes[f"{c}__below"], sizes[f"{c}__in"]
-            place = (counts[c] - 1) * probability
-            covered = below <= int(place) and below + within >= min(int(place) + 2, counts[c])
+        for n in list(open_):
+            (low, high), total = brackets[n], counts[targets[n][0]]
+            below, within = sizes[f"{n}__below"], sizes[f"{n}__in"]
+            covered = below <= int(place[n]) and below + within >= min(int(place[n]) + 2, total)
             if covered and low == high:
-                found[c] = float(low)
-                del open_[c]
-            elif covered and within < open_[c][3]:
-                open_[c] = (low, high, below, within)
+                found[n] = float(low)
+                del open_[n]
+            elif covered and within < open_[n][3]:
+                open_[n] = (low, high, below, within)
             else:
                 # The sketch missed or cannot narrow further: settle by value counts.
-                found[c] = _quantile_by_counts(df.select(inside(c).alias("v")), place - open_[c][2])
-                del open_[c]
+                values = df.select(inside(n).alias("v"))
+                found[n] = _quantile_by_counts(values, place[n] - open_[n][2])
+                del open_[n]
     return found
 
 
@@ -193,7 +188,7 @@ def fit_statistics(
     counts = {c: moments[c]["n"] for c in columns}
     lacking = [c for c in columns if counts[c] < rows]
     usable = df.select(*[finite_or_null(F.col(c)).alias(c) for c in lacking])
-    medians = exact_quantiles(usable, lacking, 0.5, counts) if lacking else {}
+    medians = exact_quantiles(usable, {c: (c, 0.5) for c in lacking}, counts) if lacking else {}
 
     stats = {}
     for c in columns:
@@ -229,11 +224,15 @@ def clip_sigma(df: DataFrame, stats: dict[str, ColumnStats]) -> DataFrame:
 
 def prob_quantiles(df: DataFrame, column: str = "probability") -> DataFrame:
     """One row: min, quartiles, max and mean of the scores."""
-    row = {
-        name: exact_quantiles(df, [column], p)[column]
-        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
-    }
-    quartiles = [F.lit(v).cast("double").alias(n) for n, v in row.items()]
-    return df.agg(
-        F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean")
-    ).select("*", *quartiles)
+    value = F.col(column)
+    seen = df.agg(
+        F.count(value).alias("n"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.avg(value).alias("mean"),
+    ).first()
+    targets = {"q1": (column, 0.25), "median": (column, 0.5), "q3": (column, 0.75)}
+    quartiles = exact_quantiles(df, targets, {column: seen["n"]})
+    row = [seen["min"], seen["max"], seen["mean"], *[quartiles[n] for n in targets]]
+    ddl = "min double, max double, mean double, q1 double, median double, q3 double"
+    return df.sparkSession.createDataFrame([row], ddl)
