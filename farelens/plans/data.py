@@ -13,7 +13,7 @@ from farelens.operators.pricing import price_curve, recommendation, sweep
 from farelens.operators.quality import with_quality
 from farelens.operators.quotes import with_axis
 from farelens.operators.scoring import score_logistic
-from farelens.session import cut_lineage
+from farelens.session import apply_settings, cut_lineage
 from farelens.sources.bids import VIEW_ROW_ORDER, bids_view, orders_view
 
 KEY = ("order_id", "copy_no", "line_no", "driver_id", "part_id", "ext")
@@ -25,6 +25,7 @@ class Data:
     row_order = VIEW_ROW_ORDER
 
     def __init__(self, spark: SparkSession, folder: str):
+        apply_settings(spark)
         self.spark, self.folder = spark, folder
 
     @cached_property

@@ -10,20 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN_SCRATCH: dict[str, str] = {}
 
 
+# Settings the engine relies on, or is much slower without; changeable at run time.
+ENGINE_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    # The JVM does not compile methods beyond 8000 bytes of bytecode; above that,
+    # operators run faster outside whole-stage code generation.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def apply_settings(spark: SparkSession) -> None:
+    """Give a session that was made elsewhere the engine's settings."""
+    for key, value in ENGINE_SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def build_session(app: str = "farelens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, ANSI arithmetic and adaptive execution."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     defaults = {
-        "spark.sql.session.timeZone": "UTC",
+        **ENGINE_SETTINGS,
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        # The JVM does not compile methods beyond 8000 bytes of bytecode; above that,
-        # operators run faster outside whole-stage code generation.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
