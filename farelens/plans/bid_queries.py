@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from farelens.functions import clock, fare
-from farelens.functions.missing import clip, finite_or_null, larger_of, num, ratio
+from farelens.functions.missing import clip, finite_or_null, larger_of, num
 from farelens.operators import cleaning, history, orders, quality, statistics
 from farelens.operators.history import DRIVER, USER
 from farelens.plans import oracle_views as o
