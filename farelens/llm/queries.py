@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelens.llm import mixing
+from farelens.llm import mixing, weak_quality
 from farelens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,9 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1 with at most three epochs of any source."""
     return mixing.mix_report(table(spark, folder, "documents"), weights=(5, 2, 1), max_epochs=3)
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, votes and verdict of every document."""
+    return weak_quality.quality_report(table(spark, folder, "documents"))
