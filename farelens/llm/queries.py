@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farelens.llm import mixing, weak_quality
+from farelens.llm import mixing, url_reputation, warc, weak_quality
 from farelens.llm.common import table
+from farelens.llm.url_reputation import ALLOW, BLOCK, UrlRule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +29,26 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, votes and verdict of every document."""
     return weak_quality.quality_report(table(spark, folder, "documents"))
+
+
+URL_RULES = [
+    UrlRule(BLOCK, "net", "/"),
+    UrlRule(ALLOW, "example.net", "/en/"),
+    UrlRule(BLOCK, "example.com", "/de/"),
+    UrlRule(ALLOW, "org", "/fr/"),
+]
+
+
+@query
+def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page judged by rule or by its host's reputation among labelled pages."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    labelled = url_reputation.label_pages(pages, table(spark, folder, "labels"))
+    judged = url_reputation.judge_urls(labelled, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "host_labels", "host_bad", "bad_mean", "bad_low")
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return warc.derivatives(warc.responses_of(table(spark, folder, "pages")))
