@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelens.llm import chat, mixing, url_reputation, warc, weak_quality
+from farelens.llm import chat, mixing, url_reputation, warc, weak_quality, winnowing
 from farelens.llm.common import table
 from farelens.llm.url_reputation import ALLOW, BLOCK, UrlRule
 
@@ -64,3 +64,9 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat.chat_report(chat.format_chat(chat.gather(rows)))
+
+
+@query
+def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form."""
+    return winnowing.fingerprint_report(table(spark, folder, "documents"))
