@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelens.llm import chat, mixing, url_reputation, warc, weak_quality, winnowing
+from farelens.llm import chat, mixing, packing, url_reputation, warc, weak_quality, winnowing
 from farelens.llm.common import table
 from farelens.llm.url_reputation import ALLOW, BLOCK, UrlRule
 
@@ -70,3 +71,9 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
 def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every text and of its edited form."""
     return winnowing.fingerprint_report(table(spark, folder, "documents"))
+
+
+@query
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 4096 ids."""
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
