@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelens.llm import chat, mixing, packing, url_reputation, warc, weak_quality, winnowing
+from farelens.llm import chat, langid, mixing, packing, url_reputation, warc, weak_quality, winnowing
 from farelens.llm.common import table
 from farelens.llm.url_reputation import ALLOW, BLOCK, UrlRule
 
@@ -77,3 +77,9 @@ def op1_winnowing(spark: SparkSession, folder: str) -> DataFrame:
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 ids."""
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every text, learnt from three quarters of the documents."""
+    return langid.language_report(table(spark, folder, "documents"))
