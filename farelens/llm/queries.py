@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelens.llm import chat, interpolation, langid, mixing, packing, url_reputation, warc, weak_quality, winnowing
+from farelens.llm import chat, interpolation, langid, minhash_join, mixing, packing, url_reputation, warc, weak_quality, winnowing
 from farelens.llm.common import table
 from farelens.llm.url_reputation import ALLOW, BLOCK, UrlRule
 
@@ -89,3 +89,9 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 def op5_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Every text's score by a model of the texts that are not held out."""
     return interpolation.score_texts(table(spark, folder, "documents"))
+
+
+@query
+def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's group of near-duplicates."""
+    return minhash_join.duplicate_report(table(spark, folder, "documents"))
