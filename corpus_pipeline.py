@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelens.llm import mixing
+from farelens.llm import langid, minhash_join, mixing, packing, weak_quality
 from farelens.llm.common import store, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# A text whose likeliest language is not likelier than all others together is rejected.
+LEAST_SCORE = 0.5
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised rules keep."""
+    return weak_quality.keep_good(docs)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the documents themselves teach."""
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
+    judged = langid.with_language(docs.select("text", row), langid.fit(docs))
+    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return judged.filter(sure).select("__row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash_join.first_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,9 +36,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("filter_quality", filter_quality),
+    ("identify_language", identify_language),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 
-# The stages learn by expectation-maximisation and digests that SQL cannot express.
+# Rules and languages are learnt by expectation-maximisation and counting, which SQL cannot express.
 ORACLE_SQL = None
 
 
