@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farelens.llm import chat, interpolation, langid, minhash_join, mixing, packing, url_reputation, warc, weak_quality, winnowing
 from farelens.llm.common import table
+from farelens.llm.oracles import ORACLES as ORACLES
 from farelens.llm.url_reputation import ALLOW, BLOCK, UrlRule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -46,7 +46,8 @@ def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     labelled = url_reputation.label_pages(pages, table(spark, folder, "labels"))
     judged = url_reputation.judge_urls(labelled, URL_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict", "host_labels", "host_bad", "bad_mean", "bad_low")
+    rounded = [F.round(c, 6).alias(c) for c in ("bad_mean", "bad_low")]
+    return judged.select("page_id", "host", "path", "rule", "verdict", "host_labels", "host_bad", *rounded)
 
 
 @query
