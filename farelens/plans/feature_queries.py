@@ -46,10 +46,6 @@ def _features_serving(d: Data) -> DataFrame:
     return rounded(features.serving_features(priced, keep=("order_id",)))
 
 
-def _filled(column: str) -> str:
-    return f"coalesce({column}, (SELECT median({column}) FROM feat ), 0e0)"
-
-
 # The columns of the bid view that can be missing.
 _LACKING = (
     "driver_rating", "rating_deviation", "net_profit_x_rating", "rating_x_price_inc",
@@ -61,8 +57,8 @@ _LACKING = (
 @query(
     "impute_median",
     f"SELECT {_KEY_AS_K}, "
-    + ", ".join(f"round({_filled(c)}, 6) + 0e0 AS {c}" for c in _LACKING)
-    + " FROM feat",
+    + ", ".join(f"round(coalesce({c}, med_{c}, 0e0), 6) + 0e0 AS {c}" for c in _LACKING)
+    + f" FROM feat , (SELECT {', '.join(f'median({c}) AS med_{c}' for c in _LACKING)} FROM feat ) middles",
 )
 def _impute_median(d: Data) -> DataFrame:
     wide = features.as_features(features.row_features(_keyed(d)), _LACKING, keep=_KK)

@@ -23,7 +23,9 @@ def with_views(*names: str) -> str:
             continue
         needed.add(name)
         pending += [other for other in VIEWS if _mentions(VIEWS[name], other)]
-    listed = [f"{name} AS (\n{VIEWS[name]}\n)" for name in VIEWS if name in needed]
+    # Feature views are read once for the fitted values and once for the rows: computed once.
+    kind = {name: "AS MATERIALIZED" if name == "feat" or name.startswith("imputed_") else "AS" for name in needed}
+    listed = [f"{name} {kind[name]} (\n{VIEWS[name]}\n)" for name in VIEWS if name in needed]
     return "WITH " + ",\n".join(listed) + "\n"
 
 
