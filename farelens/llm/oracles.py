@@ -40,14 +40,14 @@ WITH cut AS (
   SELECT CASE WHEN sum(n * (n - 1) * prior * (1 - prior)) > 0
     THEN (sum((k - n * prior) ** 2) - sum(n * prior * (1 - prior))) / sum(n * (n - 1) * prior * (1 - prior)) ELSE 0 END AS rho FROM s0
 ), s AS (
-  SELECT suffix, (k + c * prior) / (n + c) AS mean FROM s0, (SELECT (1 - r) / r AS c FROM (SELECT least(greatest(rho, 1e-4), 0.99) AS r FROM s1))
+  SELECT suffix, (k + c * prior) / (n + c) AS mean FROM s0, (SELECT (1 - r) / r AS c FROM (SELECT least(greatest(rho, 1e-4), 1e0 / 3) AS r FROM s1))
 ), d0 AS (
   SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(mean) AS prior FROM hosts JOIN s USING (suffix) GROUP BY domain, suffix
 ), d1 AS (
   SELECT CASE WHEN sum(n * (n - 1) * prior * (1 - prior)) > 0
     THEN (sum((k - n * prior) ** 2) - sum(n * prior * (1 - prior))) / sum(n * (n - 1) * prior * (1 - prior)) ELSE 0 END AS rho FROM d0
 ), d AS (
-  SELECT domain, (k + c * prior) / (n + c) AS mean FROM d0, (SELECT (1 - r) / r AS c FROM (SELECT least(greatest(rho, 1e-4), 0.99) AS r FROM d1))
+  SELECT domain, (k + c * prior) / (n + c) AS mean FROM d0, (SELECT (1 - r) / r AS c FROM (SELECT least(greatest(rho, 1e-4), 1e0 / 3) AS r FROM d1))
 ), h0 AS (
   SELECT host, n, k, mean AS prior FROM hosts JOIN d USING (domain)
 ), h1 AS (
@@ -55,7 +55,7 @@ WITH cut AS (
     THEN (sum((k - n * prior) ** 2) - sum(n * prior * (1 - prior))) / sum(n * (n - 1) * prior * (1 - prior)) ELSE 0 END AS rho FROM h0
 ), h2 AS (
   SELECT host, n, k, k + c * prior AS a, n - k + c * (1 - prior) AS b
-  FROM h0, (SELECT (1 - r) / r AS c FROM (SELECT least(greatest(rho, 1e-4), 0.99) AS r FROM h1))
+  FROM h0, (SELECT (1 - r) / r AS c FROM (SELECT least(greatest(rho, 1e-4), 1e0 / 3) AS r FROM h1))
 ), reputation AS (
   SELECT host, n, k, a / (a + b) AS mean,
     greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) AS low FROM h2

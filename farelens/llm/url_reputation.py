@@ -27,7 +27,8 @@ from farelens.llm.common import fold, store
 ALLOW, BLOCK = "allow", "block"
 # Suffixes of two labels, below which names are registered.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
-RHO_RANGE = (1e-4, 0.99)
+# Correlation of pages below one member: a prior weighs two pages at least, ten thousand at most.
+RHO_RANGE = (1e-4, 1 / 3)
 
 
 @dataclass(frozen=True)

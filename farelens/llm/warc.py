@@ -145,7 +145,8 @@ def write_warc(records: DataFrame, path: str) -> None:
         field("WARC-Refers-To", "refers_to"), field("WARC-Target-URI", "target_uri"), field("WARC-Date", "date"),
         field("WARC-Block-Digest", "block_digest"),
         field("X-Source-Payload-Digest", "source_payload_digest"),
-        F.lit("X-Source-Headers: "), F.base64(F.col("source_headers").cast("binary")), F.lit(BREAK),
+        F.lit("X-Source-Headers: "), F.regexp_replace(F.base64(F.col("source_headers").cast("binary")), r"\s", ""),
+        F.lit(BREAK),
         field("Content-Type", "content_type"), field("Content-Length", "content_length"), F.lit(BREAK), F.col("block"),
     )
     records.select(record).write.option("lineSep", BREAK * 2).option("compression", "gzip").text(path)

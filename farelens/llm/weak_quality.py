@@ -27,6 +27,7 @@ from farelens.llm.common import SPACE, WORD, bind, steps, store, text_or_empty,
 GOOD, BAD, ABSTAIN = "g", "b", "-"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+FIRST_HIT = 0.3
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULE_MEASURES = ("n_lines", "n_capitals", "n_shouts", "n_closed_lines")
 
@@ -64,9 +65,9 @@ def rules() -> list[Rule]:
         Rule("shouting", per("n_shouts", "n_words"), 0.05, 0.3, 0.001),
         Rule("capitals", per("n_capitals", "word_chars"), 0.1, 0.4, 0.005),
         Rule("repeated words", per("n_repeat_words", "n_words"), 0.1, 0.3, 0.002),
-        Rule("repeated lines", per("n_dup_lines", "n_lines"), 0.05, 0.3, 0.05),
-        Rule("word length", F.abs(mean_word - 6), 3.0, 6.0, 0.02),
-        Rule("open lines", 1 - per("n_closed_lines", "n_lines"), 0.3, 0.9, 0.05),
+        Rule("repeated lines", per("n_dup_lines", "n_lines"), 0.05, 0.3, 0.2),
+        Rule("word length", F.abs(mean_word - 6), 3.0, 6.0, 0.2),
+        Rule("open lines", 1 - per("n_closed_lines", "n_lines"), 0.3, 0.9, 0.5),
     ]
 
 
@@ -151,11 +152,14 @@ def fit(patterns: dict[str, int], caps: list[float] | None = None, rounds: int =
 
     Two classes; per rule and class the share of bad votes among its votes, an abstention telling
     nothing. On good documents that share stays near the rule's stated ``false_alarm``, from a quarter of it up: without
-    that bound the classes may part along any two rules that agree. A bad vote starts as evidence
-    against a document.
+    that bound the classes may part along any two rules that agree. Rules start with that bound and
+    with ``FIRST_HIT`` on bad documents.
     """
     caps = caps or [r.false_alarm for r in rules()]
-    good = {p: 0.05 if BAD in p else 0.95 if GOOD in p else 0.5 for p in patterns}
+    good = {}
+    for p in patterns:
+        against = [math.log(FIRST_HIT / cap) for v, cap in zip(p, caps, strict=True) if v == BAD and cap < FIRST_HIT]
+        good[p] = 1 / (1 + math.exp(sum(against)) / 9)
     for _ in range(rounds):
         share = (sum(n * good[p] for p, n in patterns.items()) + 1) / (sum(patterns.values()) + 2)
         alarms, hits = [], []
