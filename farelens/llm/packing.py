@@ -18,6 +18,8 @@ input columns play no part.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,41 +36,81 @@ WIDTH = 4096
 STEP = 16
 DEPTH = 3
 END_ID = 2
-# About 60 MB of words and their ids in a worker.
-CACHED_WORDS = 300_000
+# Twice that many, new and older, are some 200 MB in a worker.
+CACHED_WORDS = 200_000
+CACHED_PIECES = 350_000
+# The tokenizer's split of lower-case words, for words of these characters.
+PLAIN_WORD = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+WORD_PIECE = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
+)
 STORED = "row_id long, lane long, doc_id long, doc_tokens long, full_crcs array<long>, full_before long, rest int, class int, rank long, rest_crc long, rest_ids binary"
 PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-@lru_cache(maxsize=2)
-def word_coder(path: str):
-    """Encodes a text word by word, as the tokenizer does, keeping frequent words' ids.
+class WordCoder:
+    """Encodes texts word by word, as the tokenizer does, keeping the ids of words seen lately.
 
-    The tokenizer drops white space before it looks at words, so a text's ids are its words' ids.
+    The tokenizer drops white space before it looks at words, so a text's ids are its words' ids. In
+    plain words (ASCII and accented Latin letters) its pieces are found here, as far fewer of them
+    differ than words do; all other words go to it whole.
     """
-    from tokenizers import Tokenizer
 
-    coder, known = Tokenizer.from_file(path), {}
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path)
+        self.words, self.older_words = {}, {}
+        self.pieces, self.older_pieces = {}, {}
 
-    def encode(text: str) -> np.ndarray:
+    def encode(self, text: str) -> np.ndarray:
         words = text.encode().split()
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            coded = coder.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded, strict=True))
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        found = list(map(self.words.get, words))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            learnt = self.learn({words[i] for i in gaps})
+            for i in gaps:
+                found[i] = learnt[words[i]]
+        return np.frombuffer(b"".join(found), "<u4")
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words, which stay for the texts to come."""
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.older_words = {}, self.words
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces, self.older_pieces = {}, self.pieces
+        split, learnt = {}, {}
+        for w in words:
+            known = self.older_words.get(w)
+            if known is None:
+                word = w.decode()
+                plain = PLAIN_WORD.fullmatch(word) and "<|" not in word
+                split[w] = WORD_PIECE.findall(word.lower()) if plain else [word]
+            else:
+                learnt[w] = known
+        new = {p for pieces in split.values() for p in pieces if p not in self.pieces}
+        kept = {p: self.older_pieces[p] for p in new if p in self.older_pieces}
+        new = list(new.difference(kept))
+        coded = self.coder.encode_batch_fast(new, add_special_tokens=False)
+        self.pieces.update(kept)
+        self.pieces.update((p, np.array(c.ids, "<u4").tobytes()) for p, c in zip(new, coded, strict=True))
+        at = self.pieces.__getitem__
+        learnt.update((w, b"".join(map(at, pieces))) for w, pieces in split.items())
+        self.words.update(learnt)
+        return learnt
 
-    return encode
+
+@lru_cache(maxsize=2)
+def word_coder(path: str) -> WordCoder:
+    return WordCoder(path)
 
 
 def coded(path: str, end_id: int, width: int, step: int):
     """Batches of texts to rows of ``STORED``; ranks and full windows are counted per task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = word_coder(path)
+        encode = word_coder(path).encode
         lane = TaskContext.get().partitionId()
         ranks, rows_before, full_before = Counter(), 0, 0
         for docs in batches:

@@ -75,11 +75,28 @@ def test_words_are_coded_as_whole_texts_are():
     odd = [
         "á ́b  <|endoftext|>x <|startoftext|> it's\x1cq\x85z\u3000w Σας ﬁ", "'s 't", "\x1c", "I'LL DON'T", "",
         "e\u0301\u2000 \u0327c", "a\u2028b\u00a0c", "x" * 3000, "\U0001f600 \U0001f600\u200d", "12 345 ６７",
+        "don't I'LLx'sy''s 's's \"''re a'd1'm ÀÈÌ-é1é STRASSE straße ÷ × µ ª º ÿŸ", "<|x|> a<|b <| endoftext|>",
     ]
-    encode = packing.word_coder(PATH)
+    odd += [r[1] or "" for r in documents() if r[0] != 10]
+    encode = packing.WordCoder(PATH).encode
     for text in odd:
         assert encode(text).tolist() == ids_of(text)[:-1].tolist()
 
+    every = "".join(chr(c) for c in range(33, 256))
+    for a in every:  # all pairs of characters of the first two code pages, as words of their own
+        pairs = " ".join(a + b for b in every)
+        assert encode(pairs).tolist() == ids_of(pairs)[:-1].tolist()
+
+
+def test_caches_are_emptied(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    monkeypatch.setattr(packing, "CACHED_PIECES", 4)
+    coder = packing.WordCoder(PATH)
+    for i in range(30):
+        text = f"the cat's w{i} w{i - 1} w{i - 7} the dog, w{i}"
+        assert coder.encode(text).tolist() == ids_of(text)[:-1].tolist()
+    assert len(coder.words) <= 5 + 8 and len(coder.older_words) <= 5 + 8
+
 
 def test_combinations():
     every = packing.combinations(8, set(range(1, 9)), 3)
