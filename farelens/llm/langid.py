@@ -5,9 +5,10 @@ its character 5-grams, if any of them is known, else of its 4-grams, and so on d
 characters. The language with the largest sum wins; its share among all is the score.
 
 The model is fitted on a bounded sample: ``SAMPLE`` documents per language in the mean, picked by a
-digest; of the words seen, ``KNOWN_WORDS`` are kept as known, and ``KNOWN_GRAMS`` of each length.
-Its size is bounded by these parameters, so it is broadcast. Whole texts are scored where they lie,
-without a shuffle; word sums are cached per worker up to ``CACHED_WORDS``.
+digest, of the ``LANGUAGES`` with the most documents; of the words seen, ``KNOWN_WORDS`` are kept as
+known, and ``KNOWN_GRAMS`` of each length. Its size is bounded by these parameters, so it is
+broadcast. Whole texts are scored where they lie, without a shuffle; word sums are cached per worker
+up to ``CACHED_WORDS``.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if
 nothing could be learned; a text with no known word or character gets the language with the most
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from farelens.llm.common import store
 
 SAMPLE = 2500
+LANGUAGES = 500
 KNOWN_WORDS = 40_000
 KNOWN_GRAMS = 10_000
 LONGEST = 5
@@ -78,9 +80,9 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def sampled(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """About ``per_language`` documents of each language; all of a language that has fewer."""
     usable = docs.select("doc_id", "lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).filter("n > 0")
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SHARES)) / F.lit(_SHARES)
-    return usable.join(sizes, "lang").filter(share < F.lit(per_language) / F.col("n")).select("lang", "text")
+    return usable.join(F.broadcast(sizes), "lang").filter(share < F.lit(per_language) / F.col("n")).select("lang", "text")
 
 
 def _logs(rows: list, languages: tuple[str, ...], totals: np.ndarray) -> dict[str, np.ndarray]:
