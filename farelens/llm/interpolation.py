@@ -39,6 +39,7 @@ from farelens.llm.common import store
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 PACK_BYTES = 8_000_000
+PACK_CODEC = pa.Codec("zstd", compression_level=6)  # packs are stored once and shuffled once
 SHARD_TOKENS = 1_500_000
 BUCKETS = 48
 STEPS_PER_OCTAVE = 4
@@ -81,7 +82,7 @@ def pack_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, texts = held[part]
         batch = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=PACK_CODEC)) as writer:
             writer.write_batch(batch)
         tokens = sum(len(t.encode().split()) + 1 for t in texts)
         row = ((lane << 32) + made, part, tokens, sink.getvalue().to_pybytes())
