@@ -185,9 +185,13 @@ def fit(patterns: dict[str, int], caps: list[float] | None = None, rounds: int =
     return good
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def judge(counted: DataFrame, posterior: dict[str, float], threshold: float = 0.5) -> DataFrame:
     """Adds base_failed, probability of good and kept; ``counted`` has votes."""
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    failed = base_failed()
     rows = [F.struct(F.lit(p).alias("votes"), F.lit(q).alias("quality")) for p, q in sorted(posterior.items())]
     spark = counted.sparkSession
     if rows:
@@ -222,11 +226,11 @@ def quality_report(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that are kept, with their own columns.
 
-    Texts are counted twice, once for the fit and once for the verdict, which moves less than
-    joining verdicts to texts.
+    Rows are stored with their votes, so texts are counted once; a filter on the counts themselves
+    would be pushed below them and count again.
     """
     row = F.struct(*[F.col(c) for c in docs.columns])
-    tallied = measured(docs.select("text", row.alias("__row")))
-    counted = store(voted(tallied).groupBy("votes").count(), "quality-votes")
-    posterior = fit({r.votes: r["count"] for r in counted.collect()})
-    return judge(voted(tallied), posterior, threshold).filter("kept").select("__row.*")
+    counted = voted(measured(docs.select("text", row.alias("__row"))))
+    stored = store(counted.select("__row", "votes", base_failed().alias("failed")), "quality-votes")
+    likely = [votes for votes, quality in sorted(posterior_of(stored).items()) if quality >= threshold]
+    return stored.filter(~F.col("failed") & F.col("votes").isin(likely)).select("__row.*")
