@@ -37,8 +37,8 @@ WIDTH = 4096
 STEP = 16
 DEPTH = 3
 END_ID = 2
-# Twice that many, new and older, are some 200 MB in a worker.
-CACHED_WORDS = 300_000
+# Twice that many, new and older, are some 250 MB in a worker.
+CACHED_WORDS = 450_000
 CACHED_PIECES = 250_000
 # The tokenizer's split of lower-case words, for words of these characters.
 PLAIN_WORD = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
