@@ -3,16 +3,16 @@
 Texts are lower-cased (A-Z), cut into words, and seen as sets of five-word shingles. Texts with equal
 sets form a class; only classes are compared. A class's signature has ``COORDINATES`` minima. It is
 posted under each coordinate-value pair; pairs posted once are skipped, as nothing collides there.
-Two signatures that agree in ``MATCHES`` coordinates share a posting among the first
-``COORDINATES - MATCHES + 1`` of either, in ascending order of list length, so only that prefix is
+Two signatures that agree in ``Limits.matches`` coordinates share a posting among the first
+``COORDINATES - matches + 1`` of either, in ascending order of list length, so only that prefix is
 merged: very common values come last and hardly ever take part.
 
 Lists of up to ``SHORT_LIST`` classes give their pairs at once. Longer lists come from groups of very
 many similar texts: those that overlap are merged into clusters, whose members are compared in blocks
 (each task sees two blocks of bounded size), and a task reports only the links that join what it has
 not joined yet. Every pair with enough matches is decided on the full sets:
-100 * intersection >= ``PERCENT`` * union. The expected loss, at a similarity of exactly 0.85, is one
-pair in some ten thousand.
+100 * intersection >= ``Limits.percent`` * union. ``AT_85`` and ``AT_80`` have sieves fitted to their
+similarity: the expected loss, at exactly that similarity, is one pair in some ten thousand.
 
 Defined cases: texts without words have an empty set, belong to no class and link with nothing;
 texts of fewer words than five have one shingle, the whole sequence; equal rows are one class;
@@ -22,7 +22,8 @@ result; other input columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,24 @@ from farelens.llm.components import components
 WORDS = 5
 PERCENT = 85
 COORDINATES = 32
-MATCHES = 19
 SHORT_LIST = 16
 BLOCK_CLASSES, BLOCK_BYTES = 1024, 24_000_000
 # A second signature, of single bytes, sorts out pairs within a block before sets are compared.
-BYTES, BYTE_MATCHES = 256, 188
+BYTES = 256
 SIGNED = "row_id long, doc_id long, text_hash long, n_shingles long, digest binary, minima array<int>"
+
+
+@dataclass(frozen=True)
+class Limits:
+    """The similarity of a link, and how many coordinates and bytes of a pair agree at least."""
+
+    percent: int
+    matches: int
+    byte_matches: int
+
+
+AT_85 = Limits(PERCENT, 19, 188)
+AT_80 = Limits(80, 16, 176)
 _random = np.random.default_rng(20240601)
 _MIX = _random.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _random.integers(0, 1 << 31, COORDINATES + BYTES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -108,12 +121,15 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    pairs = zip(a, b, strict=True)
-    return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs], dtype=bool)
+def _linked(percent: int) -> Callable[[pd.Series, pd.Series], pd.Series]:
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True))
+        return pd.Series([similar(x, y, percent) for x, y in sets], dtype=bool)
+
+    return linked
 
 
-def block_links(members: pd.DataFrame) -> pd.DataFrame:
+def block_links(members: pd.DataFrame, limits: Limits = AT_85) -> pd.DataFrame:
     """Links that join the classes of two blocks (or one) of a cluster, as far as they are not joined."""
     ids = members["class"].to_numpy()
     blocks = members["block"].to_numpy()
@@ -124,11 +140,11 @@ def block_links(members: pd.DataFrame) -> pd.DataFrame:
     links = []
     for i in range(len(ids)):
         matches = (marks[i + 1 :] == marks[i]).sum(axis=1)
-        near = np.flatnonzero(matches >= BYTE_MATCHES) + i + 1
+        near = np.flatnonzero(matches >= limits.byte_matches) + i + 1
         if across:
             near = near[blocks[near] != blocks[i]]
         for j in near[np.argsort(-matches[near - i - 1], kind="stable")]:
-            if root[i] != root[j] and similar(sets[i], sets[j]):
+            if root[i] != root[j] and similar(sets[i], sets[j], limits.percent):
                 links.append((ids[i], ids[j]))
                 root[root == root[j]] = root[i]
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -140,7 +156,7 @@ def signed(docs: DataFrame) -> DataFrame:
     return store(texts.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_sign, SIGNED), "signatures")
 
 
-def prefix_postings(classes: DataFrame) -> DataFrame:
+def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
     """(class, key, n): the postings of each class that are merged, n being their list's length."""
     posted = classes.select("class", F.posexplode("minima").alias("place", "least")).select(
         "class", (F.col("place").cast("long") * (1 << 32) + F.col("least")).alias("key")
@@ -152,13 +168,13 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
     place = F.row_number().over(by_class.orderBy("n", "key"))
     ranked = colliding.withColumns({"alone": alone, "place": place})
     prefix = store(
-        ranked.filter(F.col("place") + F.col("alone") <= COORDINATES - MATCHES + 1).select("class", "key"), "prefixes"
+        ranked.filter(F.col("place") + F.col("alone") <= COORDINATES - matches + 1).select("class", "key"), "prefixes"
     )
     lists = prefix.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     return store(prefix.join(lists, "key"), "postings")
 
 
-def short_list_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
+def short_list_pairs(postings: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     """Pairs (a, b) of short lists that agree in enough coordinates."""
     lists = postings.filter(F.col("n") <= SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_list("class")).alias("m"))
     paired = F.flatten(
@@ -172,7 +188,7 @@ def short_list_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = lists.select(F.explode(paired).alias("p")).select("p.a", "p.b").distinct()
     of = lambda side: classes.select(F.col("class").alias(side), F.col("minima").alias(f"{side}_minima"))
     matched = F.size(F.filter(F.zip_with("a_minima", "b_minima", lambda x, y: x == y), lambda same: same))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(matched >= MATCHES).select("a", "b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(matched >= matches).select("a", "b")
 
 
 def clusters(postings: DataFrame) -> DataFrame:
@@ -194,7 +210,7 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return store(unique.select("class", "shingles"), "sets")
 
 
-def cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def cluster_links(members: DataFrame, sets: DataFrame, limits: Limits) -> DataFrame:
     """Links within clusters, found by blocks."""
     filled = members.join(sets, "class")
     sizes = filled.groupBy("cluster").agg(
@@ -209,10 +225,10 @@ def cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     )
-    return dealt.groupBy("cluster", "low", "high").applyInPandas(block_links, "a long, b long")
+    return dealt.groupBy("cluster", "low", "high").applyInPandas(lambda m: block_links(m, limits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, limits: Limits = AT_85) -> DataFrame:
     """One row per document: row_id, doc_id, text_hash, n_shingles and component_id."""
     rows = signed(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
@@ -223,17 +239,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("first.row_id").alias("class"), F.col("first.doc_id").alias("doc_id"), "digest", "minima"),
         "classes",
     )
-    postings = prefix_postings(classes)
-    pairs = store(short_list_pairs(postings, classes), "pairs")
+    postings = prefix_postings(classes, limits.matches)
+    pairs = store(short_list_pairs(postings, classes, limits.matches), "pairs")
     members = store(clusters(postings), "clusters")
     used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
     used = used.unionByName(members.select("class")).distinct()
     sets = full_sets(docs, classes.join(used, "class").select("class", "doc_id", "digest"))
     side = lambda name: sets.select(F.col("class").alias(name), F.col("shingles").alias(f"{name}_set"))
-    confirmed = (
-        pairs.join(side("a"), "a").join(side("b"), "b").filter(F.pandas_udf(_linked, "boolean")("a_set", "b_set"))
-    )
-    links = confirmed.select("a", "b").unionByName(cluster_links(members, sets))
+    reached = F.pandas_udf(_linked(limits.percent), "boolean")("a_set", "b_set")
+    confirmed = pairs.join(side("a"), "a").join(side("b"), "b").filter(reached)
+    links = confirmed.select("a", "b").unionByName(cluster_links(members, sets, limits))
     grouped = components(links)
     named = (
         grouped.join(classes.select(F.col("class").alias("node"), "doc_id"), "node")
@@ -255,13 +270,13 @@ def kept() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("component_id"))
 
 
-def duplicate_report(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", kept().alias("kept"))
+def duplicate_report(docs: DataFrame, limits: Limits = AT_85) -> DataFrame:
+    return near_duplicates(docs, limits).select("doc_id", "n_shingles", "component_id", kept().alias("kept"))
 
 
-def first_of_each_group(docs: DataFrame) -> DataFrame:
+def first_of_each_group(docs: DataFrame, limits: Limits = AT_85) -> DataFrame:
     """Documents without those that have a kept near-duplicate; texts without words all stay."""
-    judged = store(near_duplicates(docs), "near-duplicates")
+    judged = store(near_duplicates(docs, limits), "near-duplicates")
     keys = judged.groupBy("doc_id", "text_hash").agg(
         F.max(kept()).alias("stays"), F.max(F.col("n_shingles") > 0).alias("has_words"), F.count("*").alias("times")
     )

@@ -35,3 +35,37 @@ def test_awkward_and_empty_tables(spark):
     for df in (frame(spark).filter("doc_id IS NULL OR doc_id <> 10"), empty(spark)):
         for name, stage in corpus_pipeline.STAGES:
             df = store(stage(spark, df, FOLDER), name)
+
+
+def test_near_duplicates_from_80_percent(spark):
+    # Overlapping runs of a sequence: n - s and n + s are the shared and all shingles of a pair s words apart.
+    rows, expected = [], []
+    for group, (n, apart, linked) in enumerate([(164, 18, True), (164, 17, True), (164, 19, False), (90, 10, True), (90, 11, False)]):
+        words = [f"g{group}w{i}" for i in range(n + 4 + 2 * apart)]
+        for i in range(3):
+            rows.append((10 * group + i, " ".join(words[i * apart : i * apart + n + 4]), "en", "a", 0))
+            if i == 0 or not linked:
+                expected.append(10 * group + i)
+    # One large group, compared in blocks, whose members resemble the first in 80 to 84 of 100.
+    base = [f"b{i}" for i in range(204)]
+    for i in range(40):
+        text = list(base)
+        for at in (20 + i, 90, 150, 199 - i // 8)[: i and 4]:
+            text[at] = f"new{i}"
+        rows.append((1000 + i, " ".join(text), "en", "a", 0))
+    stage = dict(corpus_pipeline.STAGES)["drop_near_duplicates"]
+    left = sorted(r.doc_id for r in stage(spark, frame(spark, rows), FOLDER).collect())
+    expected += [1000]
+    assert left == expected == brute_kept(rows, 80)
+    assert brute_kept(rows, 85) != expected
+
+
+def brute_kept(rows, percent):
+    """Ids that are the least of their group."""
+    sets = [(r[0], {tuple(w[i : i + 5]) for w in [r[1].split()] for i in range(len(w) - 4)}) for r in rows]
+    least = {d: d for d, _ in sets}
+    links = [(a, b) for a, x in sets for b, y in sets if a < b and 100 * len(x & y) >= percent * len(x | y)]
+    for _ in sets:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return sorted(d for d in least if least[d] == d)
