@@ -16,8 +16,6 @@ from farelens.session import cut_lineage, scratch_path
 from farelens.sources import predictions
 
 TEST_SIZE, SEED = 0.2, 42
-# Enough trees to rank better than chance, in reasonable time for a check.
-CHECK_SETTINGS = modelling.TreeSettings(iterations=10)
 
 _ROW_TEXT = (
     "concat_ws('-', order_id, copy_no, line_no, driver_id, part_id, CAST(round(ext * 100) AS BIGINT))"
@@ -97,7 +95,7 @@ def fitted(d: Data) -> tuple[PipelineModel, DataFrame]:
             split.select("k_order_id", "k_copy_no", "label", "is_test", *BASE_FEATURES)
         )
         train = halves.filter(~F.col("is_test"))
-        trees = modelling.train_classifier(train, settings=CHECK_SETTINGS)
+        trees = modelling.train_classifier(train)
         _FITTED[at] = modelling.calibrate_sigmoid(trees, train), halves
     return _FITTED[at]
 

@@ -4,8 +4,10 @@ import pytest
 from conftest import FOLDER
 
 from __spark_entry__ import queries
-from farelens.operators import orders
+from farelens.operators import modelling, orders
 from farelens.operators.features import BASE_FEATURES
+from farelens.plans import model_queries
+from farelens.plans.data import Data
 
 QUERIES = queries()
 
@@ -34,3 +36,10 @@ def test_too_few_rows(spark):
     with pytest.raises(ValueError):
         orders.require_rows(spark.range(99))
     assert orders.require_rows(spark.range(100)).count() == 100
+
+
+def test_registered_model_has_all_trees(spark):
+    model, _ = model_queries.fitted(Data(spark, FOLDER))
+    trees, settings = model.stages[1], modelling.TreeSettings()
+    assert trees.getNumTrees == settings.iterations == 200
+    assert trees.getStepSize() == settings.rate == 0.05 and trees.getMaxDepth() == settings.depth
