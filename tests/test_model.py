@@ -6,8 +6,11 @@ from conftest import FOLDER
 from __spark_entry__ import queries
 from farelens.operators import modelling, orders
 from farelens.operators.features import BASE_FEATURES
+from farelens.operators.pricing import recommendation, sweep
+from farelens.operators.scoring import score_model
 from farelens.plans import model_queries
 from farelens.plans.data import Data
+from farelens.plans.pricing_queries import flat_recommendation
 
 QUERIES = queries()
 
@@ -43,3 +46,15 @@ def test_registered_model_has_all_trees(spark):
     trees, settings = model.stages[1], modelling.TreeSettings()
     assert trees.getNumTrees == settings.iterations == 200
     assert trees.getStepSize() == settings.rate == 0.05 and trees.getMaxDepth() == settings.depth
+
+
+def test_model_sweep_uses_the_whole_grid(spark, monkeypatch):
+    d = Data(spark, FOLDER)
+    table = modelling.feature_table(d.features.select("label", *BASE_FEATURES), BASE_FEATURES)
+    settings = modelling.TreeSettings(iterations=1, depth=2)
+    model = modelling.calibrate_sigmoid(modelling.train_classifier(table, settings=settings), table)
+    monkeypatch.setattr(model_queries, "fitted", lambda _: (model, table))
+    swept = sweep(d.prepared, score_model(model), coarse=150, fine=500)
+    expected = flat_recommendation(recommendation(swept))
+    got = QUERIES["score_fn"](spark, FOLDER)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
