@@ -1,6 +1,11 @@
 """Document fingerprints by winnowing.
 
-A text is lower-cased (A-Z) and cut into units: words, runs of more than 16 characters in pieces.
+A text is lower-cased (A-Z) and cut into units: words, and pieces of runs of more than 16 characters.
+Such a run is cut before the place of the smallest hash (of equal ones the rightmost) of every
+``PIECE`` in a row of its hashes of ``LOCAL`` characters. Pieces thus have 16 characters at most, and
+where a cut falls depends on the characters around it only, not on where the run begins: two runs
+that share a passage have the same cuts from ``PIECE`` characters behind its start to ``PIECE`` +
+``LOCAL`` before its end. A shared passage of 150 characters holds a run of eight units at least.
 Every ``k`` units in a row are hashed; of every ``window`` hashes in a row the smallest is chosen,
 of equal ones the rightmost. The chosen hashes with their places are the fingerprint. Two texts that
 share a run of ``window + k - 1`` units share a chosen hash, and nothing below ``k`` units counts.
@@ -22,18 +27,63 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from farelens.llm.common import bind, fold, steps
+from farelens.llm.common import WORD, bind, fold, steps
 
 K, WINDOW = 5, 4
 PLACE_BITS = 26
 MAX_BLOCKS = 16384
 BLOCK_ROWS, LEAST_BLOCK_ROWS = 1000, 50
 _FINE = 128
-UNIT = r"[^\x20\x09-\x0D]{1,16}"
+LONGEST, PIECE, LOCAL = 16, 13, 4
+LONG_RUN = r"[^\x20\x09-\x0D]{17}"
+
+
+def least_places(values: Column, window: int) -> Column:
+    """Ascending places of the least of every ``window`` longs in a row, by their upper bits; empty for none."""
+    mask = (1 << PLACE_BITS) - 1
+    tagged = F.transform(
+        values,
+        lambda v, i: F.shiftleft(F.shiftright(v, PLACE_BITS), PLACE_BITS)
+        + (F.lit(mask).cast("long") - F.pmod(i.cast("long"), F.lit(mask + 1))),
+    )
+
+    def least(t: Column) -> Column:
+        sliding = F.transform(
+            steps(F.size(t) - (window - 1)), lambda i: F.least(*[t[i + j] for j in range(window)])
+        )
+        single = F.array(F.array_min(t))
+        return F.when(F.size(t) >= window, sliding).when(F.size(t) > 0, single).otherwise(F.array().cast("array<bigint>"))
+
+    place = lambda p: (F.lit(mask).cast("long") - p.bitwiseAND(F.lit(mask).cast("long"))).cast("int")
+    return F.transform(F.array_distinct(bind(tagged, least)), place)
+
+
+def pieces(run: Column) -> Column:
+    """A run of more than 16 characters, cut where its characters say so."""
+
+    def cut(chars: Column) -> Column:
+        local = F.transform(
+            steps(F.size(chars) - (LOCAL - 1)), lambda i: F.xxhash64(*[chars[i + j] for j in range(LOCAL)])
+        )
+        starts = F.array_distinct(F.concat(F.array(F.lit(0)), bind(local, lambda h: least_places(h, PIECE))))
+
+        def between(at: Column) -> Column:
+            end = lambda i: F.coalesce(F.get(at, i + 1), F.size(chars))
+            return F.transform(at, lambda a, i: F.array_join(F.slice(chars, a + 1, end(i) - a), ""))
+
+        return bind(starts, between)
+
+    return bind(F.split(run, ""), cut)
 
 
 def units(text: Column) -> Column:
-    return F.regexp_extract_all(fold(text), F.lit(UNIT), F.lit(0))
+    def of(folded: Column) -> Column:
+        runs = F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
+        short = lambda r: F.length(r) <= LONGEST
+        cut = F.flatten(F.transform(runs, lambda r: F.when(short(r), F.array(r)).otherwise(pieces(r))))
+        return F.when(folded.rlike(LONG_RUN), cut).otherwise(runs)
+
+    return bind(fold(text), of)
 
 
 def gram_hashes(text: Column, k: int = K) -> Column:
@@ -49,27 +99,10 @@ def gram_hashes(text: Column, k: int = K) -> Column:
 
 def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """array<struct<hash, place>> of a text that is not null, in text order."""
-    mask = (1 << PLACE_BITS) - 1
 
     def chosen(grams: Column) -> Column:
-        tagged = F.transform(
-            grams,
-            lambda g, i: F.shiftleft(F.shiftright(g, PLACE_BITS), PLACE_BITS)
-            + (F.lit(mask).cast("long") - F.pmod(i.cast("long"), F.lit(mask + 1))),
-        )
-
-        def least(t: Column) -> Column:
-            sliding = F.transform(
-                steps(F.size(t) - (window - 1)), lambda i: F.least(*[t[i + j] for j in range(window)])
-            )
-            single = F.array(F.array_min(t))
-            return F.when(F.size(t) >= window, sliding).when(F.size(t) > 0, single).otherwise(F.array().cast("array<bigint>"))
-
-        def placed(p: Column) -> Column:
-            place = (F.lit(mask).cast("long") - p.bitwiseAND(F.lit(mask).cast("long"))).cast("int")
-            return bind(place, lambda at: F.struct(F.get(grams, at).alias("hash"), at.alias("place")))
-
-        return F.transform(F.array_distinct(bind(tagged, least)), placed)
+        placed = lambda at: F.struct(F.get(grams, at).alias("hash"), at.alias("place"))
+        return F.transform(least_places(grams, window), placed)
 
     return bind(gram_hashes(text, k), chosen)
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import xxhash
@@ -99,3 +100,37 @@ def test_one_row_and_none(spark):
 def test_plan_has_no_python(spark):
     plan = winnowing.with_fingerprint(frame(spark).select(text_or_empty().alias("text")))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def cut(run):
+    """Pieces of a long run, window by window."""
+    local = [xxhash_of(run[i : i + 4]) >> winnowing.PLACE_BITS for i in range(len(run) - 3)]
+    starts = {0} | {min(range(i, i + 13), key=lambda j: (local[j], -j)) for i in range(len(local) - 12)}
+    ends = sorted(starts)[1:] + [len(run)]
+    return [run[a:b] for a, b in zip(sorted(starts), ends, strict=True)]
+
+
+def xxhash_of(chars):
+    seed = 42
+    for c in chars:
+        seed = xxhash.xxh64_intdigest(c.encode(), seed=seed)
+    return signed(seed)
+
+
+def test_long_runs_are_cut_by_their_characters(spark):
+    rng = random.Random(5)
+    some = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    shared, passage = some(2000), some(150)
+    changed = shared[:1000] + "x" + shared[1000:]
+    texts = [shared, "x" + shared, some(5) + " " + shared + some(3), changed]
+    texts += [some(37 + 3 * i) + passage + some(50 - 2 * i) for i in range(8)]
+    texts += ["a" * 17, "ab" * 40, "one " + some(17) + " two " + some(16), "😀" * 9 + some(20)]
+    df = frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    got = df.select("text", winnowing.units(text_or_empty()).alias("u")).collect()
+    for text, units in got:
+        expected = [p for r in text.split() for p in (cut(r) if len(r) > 16 else [r])]
+        assert units == expected and max(map(len, units)) <= 16
+    sets = {t: {h for h, _ in f} for t, f in prints(df)}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(texts[0], texts[1]) > 0.95 and alike(texts[0], texts[2]) > 0.9 and alike(texts[0], changed) > 0.9
+    assert all(sets[a] & sets[b] for a in texts[4:12] for b in texts[4:12])
