@@ -229,14 +229,22 @@ def cluster_links(members: DataFrame, sets: DataFrame, limits: Limits) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, limits: Limits = AT_85) -> DataFrame:
-    """One row per document: row_id, doc_id, text_hash, n_shingles and component_id."""
+    """One row per document: row_id, doc_id, text_hash, n_shingles, component_id and first_hash.
+
+    ``first_hash`` is the text hash of the group's first document, by id and then by text hash.
+    """
     rows = signed(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
+    no_id = F.col("doc_id").isNull().alias("no_id")
+    first = F.min(F.struct(no_id, "doc_id", "row_id"))
     classes = store(
         rows.filter("n_shingles > 0")
         .groupBy("digest")
-        .agg(first.alias("first"), F.first("minima").alias("minima"))
-        .select(F.col("first.row_id").alias("class"), F.col("first.doc_id").alias("doc_id"), "digest", "minima"),
+        .agg(
+            first.alias("first"),
+            F.min(F.struct(no_id, "doc_id", "text_hash")).alias("own"),
+            F.first("minima").alias("minima"),
+        )
+        .select(F.col("first.row_id").alias("class"), F.col("first.doc_id").alias("doc_id"), "own", "digest", "minima"),
         "classes",
     )
     postings = prefix_postings(classes, limits.matches)
@@ -251,18 +259,20 @@ def near_duplicates(docs: DataFrame, limits: Limits = AT_85) -> DataFrame:
     links = confirmed.select("a", "b").unionByName(cluster_links(members, sets, limits))
     grouped = components(links)
     named = (
-        grouped.join(classes.select(F.col("class").alias("node"), "doc_id"), "node")
+        grouped.join(classes.select(F.col("class").alias("node"), "doc_id", "own"), "node")
         .groupBy("component")
-        .agg(F.min("doc_id").alias("least"))
+        .agg(F.min("doc_id").alias("least"), F.min("own").alias("group_first"))
     )
-    by_class = grouped.join(named, "component").select(F.col("node").alias("class"), "least")
+    by_class = grouped.join(named, "component").select(F.col("node").alias("class"), "least", "group_first")
     by_digest = classes.join(by_class, "class", "left").select(
-        "digest", F.coalesce("least", "doc_id").alias("component_id"), F.col("class").alias("__class")
+        "digest", F.coalesce("least", "doc_id").alias("component_id"), F.col("class").alias("__class"),
+        F.coalesce("group_first.text_hash", "own.text_hash").alias("first_hash"),
     )
     known = rows.drop("minima").join(by_digest, "digest", "left")
     return known.select(
         "row_id", "doc_id", "text_hash", "n_shingles",
         F.when(F.col("__class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "first_hash",
     )
 
 
@@ -277,8 +287,9 @@ def duplicate_report(docs: DataFrame, limits: Limits = AT_85) -> DataFrame:
 def first_of_each_group(docs: DataFrame, limits: Limits = AT_85) -> DataFrame:
     """Documents without those that have a kept near-duplicate; texts without words all stay."""
     judged = store(near_duplicates(docs, limits), "near-duplicates")
+    first = kept() & F.coalesce(F.col("text_hash") == F.col("first_hash"), F.lit(True))
     keys = judged.groupBy("doc_id", "text_hash").agg(
-        F.max(kept()).alias("stays"), F.max(F.col("n_shingles") > 0).alias("has_words"), F.count("*").alias("times")
+        F.max(first).alias("stays"), F.max(F.col("n_shingles") > 0).alias("has_words"), F.count("*").alias("times")
     )
     keys = store(keys, "near-duplicate-keys")
     gone = keys.filter("NOT stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))

@@ -102,3 +102,14 @@ def test_first_of_each_group(spark):
 def test_empty_table(spark):
     assert report(empty(spark)) == []
     assert minhash_join.first_of_each_group(empty(spark)).count() == 0
+
+
+def test_one_of_each_group_also_with_shared_or_missing_ids(spark):
+    a, b, c = (sentence(random.Random(i), 120) for i in range(3))
+    near = lambda text: " ".join(["zzz", *text.split()[1:]])
+    texts = [(5, a), (5, near(a)), (6, a), (None, b), (None, b.upper()), (None, b.replace(" ", "  ")), (None, near(b))]
+    texts += [(None, c), (7, near(c)), (7, c), (8, ""), (8, " "), (None, ""), (None, "")]
+    left = minhash_join.first_of_each_group(frame(spark, [(d, t, None, None, 0) for d, t in texts])).collect()
+    ids = [r.doc_id for r in left if r.text.strip()]
+    assert sorted(ids, key=str) == [5, 7, None]
+    assert len(left) == 3 + 4
