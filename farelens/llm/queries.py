@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelens.llm import chat, interpolation, langid, minhash_join, mixing, packing, url_reputation, warc, weak_quality, winnowing
+from farelens.llm import chat, interpolation, langid, minhash_join, mixing, packing, personal_data, url_reputation, warc, weak_quality, winnowing
 from farelens.llm.common import table
 from farelens.llm.oracles import ORACLES as ORACLES
 from farelens.llm.url_reputation import ALLOW, BLOCK, UrlRule
@@ -96,3 +96,9 @@ def op5_scoring(spark: SparkSession, folder: str) -> DataFrame:
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's group of near-duplicates."""
     return minhash_join.duplicate_report(table(spark, folder, "documents"))
+
+
+@query
+def op12_personal(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every text."""
+    return personal_data.personal_report(table(spark, folder, "documents"))
