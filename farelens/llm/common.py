@@ -42,6 +42,13 @@ def steps(count: Column) -> Column:
     )
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back.
 
