@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farelens.llm import chat, interpolation, langid, minhash_join, mixing, packing, personal_data, token_alignment, url_reputation, warc, weak_quality, winnowing
+from farelens.llm import chat, conversation_repair, interpolation, langid, minhash_join, mixing, packing, personal_data, token_alignment, url_reputation, warc, weak_quality, winnowing
 from farelens.llm.common import table
 from farelens.llm.oracles import ORACLES as ORACLES
 from farelens.llm.url_reputation import ALLOW, BLOCK, UrlRule
@@ -109,3 +109,9 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Every text's tokens of two tokenizers, aligned."""
     a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return token_alignment.align(table(spark, folder, "documents"), a, b)
+
+
+@query
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation's faults after damage and its cheapest repair."""
+    return conversation_repair.repair(table(spark, folder, "conversations"))
