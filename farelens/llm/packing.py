@@ -18,43 +18,60 @@ input columns play no part.
 
 from __future__ import annotations
 
-import gc
+import json
 import os
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from farelens.llm.common import store
+from farelens.llm.common import byte_alphabet, store
 
 WIDTH = 4096
 STEP = 16
 DEPTH = 3
 END_ID = 2
-# Twice that many, new and older, are some 250 MB in a worker.
-CACHED_WORDS = 450_000
-CACHED_PIECES = 250_000
-# The tokenizer's split of lower-case words, for words of these characters.
-PLAIN_WORD = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-WORD_PIECE = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
+# How the word tokenizer prepares and splits text, and the same split for text that is
+# in lower case and of these characters (ASCII and accented Latin letters).
+WORD_NORMALIZER = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+WORD_SPLIT = [
+    {
+        "type": "Split",
+        "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+        "behavior": "Removed",
+        "invert": True,
+    },
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+WORD_END = "</w>"
+SPACES = re.compile("[ \t-\r]+")
+PLAIN = re.compile("[ \t-\r!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PLAIN_PIECE = re.compile(
+    "[a-z\u00df-\u00f6\u00f8-\u00ff]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \t-\ra-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
 )
-STORED = "row_id long, lane long, doc_id long, doc_tokens long, full_crcs array<long>, full_before long, rest int, class int, rank long, rest_crc long, rest_ids binary"
+# Stands for the end of a word where ranks go by bytes; no plain text has it.
+MARK = "\x01"
+STORED = "row_id long, lane long, doc_id string, doc_tokens long, full_crcs array<long>, full_before long, rest int, class int, rank long, rest_crc long, rest_ids binary"
 PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 class WordCoder:
-    """Encodes texts word by word, as the tokenizer does, keeping the ids of words seen lately.
+    """Encodes texts as the tokenizer does, without special tokens of its own.
 
-    The tokenizer drops white space before it looks at words, so a text's ids are its words' ids. In
-    plain words (ASCII and accented Latin letters) its pieces are found here, as far fewer of them
-    differ than words do; all other words go to it whole.
+    Plain words of the word tokenizer are split here and merged by ``tiktoken``, to which the end of a
+    word is one more byte; all else, and every text of any other tokenizer, goes to the tokenizer whole.
+    Nothing is kept from text to text.
     """
 
     def __init__(self, path: str):
@@ -62,47 +79,67 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
-        self.words, self.older_words = {}, {}
-        self.pieces, self.older_pieces = {}, {}
+        with open(path, encoding="utf-8") as file:
+            self.ranked = word_ranks(json.load(file))
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.encode().split()
-        found = list(map(self.words.get, words))
-        gaps = [i for i, ids in enumerate(found) if ids is None]
-        if gaps:
-            learnt = self.learn({words[i] for i in gaps})
-            for i in gaps:
-                found[i] = learnt[words[i]]
-        return np.frombuffer(b"".join(found), "<u4")
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words, which stay for the texts to come."""
-        if len(self.words) > CACHED_WORDS:
-            self.words, self.older_words = {}, self.words
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces, self.older_pieces = {}, self.pieces
-        split, learnt = {}, {}
-        for w in words:
-            known = self.older_words.get(w)
-            if known is None:
-                word = w.decode()
-                plain = PLAIN_WORD.fullmatch(word) and "<|" not in word
-                split[w] = WORD_PIECE.findall(word.lower()) if plain else [word]
-            else:
-                learnt[w] = known
-        new = {p for pieces in split.values() for p in pieces if p not in self.pieces}
-        kept = {p: self.older_pieces[p] for p in new if p in self.older_pieces}
-        new = list(new.difference(kept))
-        coded = self.coder.encode_batch_fast(new, add_special_tokens=False)
-        self.pieces.update(kept)
-        self.pieces.update((p, np.array(c.ids, "<u4").tobytes()) for p, c in zip(new, coded, strict=True))
-        at = self.pieces.__getitem__
-        learnt.update((w, b"".join(map(at, pieces))) for w, pieces in split.items())
-        self.words.update(learnt)
-        return learnt
-
-
-@lru_cache(maxsize=2)
+        if self.ranked is None:
+            return self.by_tokenizer(text)
+        if is_plain(text):
+            return self.by_ranks(text)
+        runs = groupby(SPACES.split(text), is_plain)
+        parts = [(self.by_ranks if plain else self.by_tokenizer)(" ".join(words)) for plain, words in runs]
+        return np.concatenate(parts)
+
+    def by_ranks(self, text: str) -> np.ndarray:
+        pieces = PLAIN_PIECE.findall(text.lower())
+        if not pieces:
+            return np.empty(0, "<u4")
+        pieces.append("")
+        return np.array(self.ranked.encode_ordinary(MARK.join(pieces)), "<u4")
+
+    def by_tokenizer(self, text: str) -> np.ndarray:
+        (coded,) = self.coder.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(coded.ids, "<u4")
+
+
+def is_plain(text: str) -> bool:
+    return PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
+def word_ranks(settings: dict):
+    """The word tokenizer's merges by rank, or None for a tokenizer that prepares or merges otherwise."""
+    model = settings["model"]
+    normalizer, split = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+    as_assumed = (
+        model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == WORD_END
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and normalizer.get("normalizers") == WORD_NORMALIZER
+        and split.get("pretokenizers") == WORD_SPLIT
+        and all(t["content"].startswith("<|") for t in settings.get("added_tokens", ()))
+    )
+    if not as_assumed:
+        return None
+    vocabulary, alphabet = model["vocab"], byte_alphabet()
+    special = {t["content"] for t in settings.get("added_tokens", ())}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merged = [vocabulary["".join(p)] for p in pairs]
+    ranks: dict[bytes, int] = {}
+    for token, i in vocabulary.items():
+        if token not in special:
+            word = token.removesuffix(WORD_END)
+            ranks[bytes(alphabet[c] for c in word) + (MARK.encode() if word != token else b"")] = i
+    ends = [ranks.get(bytes([b]) + MARK.encode(), len(vocabulary)) for b in range(256)]
+    # Ids in the order of the merges, ends of words before all merges, and no two tokens with the same bytes.
+    if merged != sorted(set(merged)) or max(ends) >= merged[0] or len(ranks) != len(vocabulary.keys() - special):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=1)
 def word_coder(path: str) -> WordCoder:
     return WordCoder(path)
 
@@ -112,7 +149,6 @@ def coded(path: str, end_id: int, width: int, step: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = word_coder(path).encode
-        gc.disable()  # nothing here makes cycles
         lane = TaskContext.get().partitionId()
         ranks, rows_before, full_before = Counter(), 0, 0
         for docs in batches:
@@ -131,8 +167,7 @@ def coded(path: str, end_id: int, width: int, step: int):
                 )
                 rows_before, full_before = rows_before + 1, full_before + n_full
                 ranks[kind] += 1
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in STORED.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STORED.split(", ")])
 
     return run
 
@@ -235,8 +270,9 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text) with their places in sequences of ``width``."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # a long with nulls would be a double there
     stored = store(texts.mapInPandas(coded(tokenizer, end_id, width, step), STORED), "tokens")
+    stored = stored.withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = stored.drop("rest_ids")
 
     lanes = rows.groupBy("lane", "class").agg(F.count("*").alias("n"))

@@ -56,7 +56,7 @@ def test_table(spark):
 
 @pytest.mark.parametrize("width", [4096, 64])
 def test_awkward_rows(spark, width):
-    rows = [r for r in documents() if r[0] != 10]
+    rows = documents()
     pieces = packing.pack(clashing(spark, rows), PATH, width=width).collect()
     check([(r[0], r[1]) for r in rows], pieces, width)
 
@@ -77,7 +77,7 @@ def test_words_are_coded_as_whole_texts_are():
         "e\u0301\u2000 \u0327c", "a\u2028b\u00a0c", "x" * 3000, "\U0001f600 \U0001f600\u200d", "12 345 ６７",
         "don't I'LLx'sy''s 's's \"''re a'd1'm ÀÈÌ-é1é STRASSE straße ÷ × µ ª º ÿŸ", "<|x|> a<|b <| endoftext|>",
     ]
-    odd += [r[1] or "" for r in documents() if r[0] != 10]
+    odd += [r[1] or "" for r in documents()]
     encode = packing.WordCoder(PATH).encode
     for text in odd:
         assert encode(text).tolist() == ids_of(text)[:-1].tolist()
@@ -88,14 +88,32 @@ def test_words_are_coded_as_whole_texts_are():
         assert encode(pairs).tolist() == ids_of(pairs)[:-1].tolist()
 
 
-def test_caches_are_emptied(monkeypatch):
-    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
-    monkeypatch.setattr(packing, "CACHED_PIECES", 4)
+def test_every_piece_of_the_vocabulary():
     coder = packing.WordCoder(PATH)
-    for i in range(30):
-        text = f"the cat's w{i} w{i - 1} w{i - 7} the dog, w{i}"
-        assert coder.encode(text).tolist() == ids_of(text)[:-1].tolist()
-    assert len(coder.words) <= 5 + 8 and len(coder.older_words) <= 5 + 8
+    assert coder.ranked is not None
+    shown = packing.byte_alphabet()
+    for token in CODER.get_vocab():
+        word = bytes(shown.get(c, 0) for c in token.removesuffix("</w>")).decode(errors="ignore")
+        assert coder.encode(word).tolist() == ids_of(word)[:-1].tolist()
+        assert coder.encode(word + word[::-1] + "qz").tolist() == ids_of(word + word[::-1] + "qz")[:-1].tolist()
+
+
+def test_another_tokenizer(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    coder = packing.WordCoder(path)
+    assert coder.ranked is None
+    texts = ["Hello World, it's 42", "", None, "  two  spaces\n", "漢字 <|endoftext|>"]
+    for text in texts:
+        assert coder.encode(text or "").tolist() == other.encode(text or "", add_special_tokens=False).ids
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    sizes = {p.doc_id: p.doc_tokens for p in packing.pack(frame(spark, rows), path).collect()}
+    assert sizes == {i: 1 + len(coder.encode(t or "")) for i, t in enumerate(texts)}
+
+
+def test_ids_beyond_doubles(spark):
+    rows = [(2**53 + 1, "one", None, None, 0), (None, "one", None, None, 0)]
+    assert {p.doc_id for p in packing.pack(frame(spark, rows), PATH).collect()} == {2**53 + 1, None}
 
 
 def test_combinations():
