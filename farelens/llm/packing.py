@@ -38,6 +38,8 @@ WIDTH = 4096
 STEP = 16
 DEPTH = 3
 END_ID = 2
+# Characters of texts whose ids a task holds before it hands them on.
+HELD_CHARS = 8_000_000
 # How the word tokenizer prepares and splits text, and the same split for text that is
 # in lower case and of these characters (ASCII and accented Latin letters).
 WORD_NORMALIZER = [
@@ -147,12 +149,13 @@ def word_coder(path: str) -> WordCoder:
 def coded(path: str, end_id: int, width: int, step: int):
     """Batches of texts to rows of ``STORED``; ranks and full windows are counted per task."""
 
+    columns = [c.split()[0] for c in STORED.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = word_coder(path).encode
         lane = TaskContext.get().partitionId()
-        ranks, rows_before, full_before = Counter(), 0, 0
+        ranks, rows_before, full_before, rows, held = Counter(), 0, 0, [], 0
         for docs in batches:
-            rows = []
             for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                 n_full, rest = divmod(len(ids), width)
@@ -167,7 +170,12 @@ def coded(path: str, end_id: int, width: int, step: int):
                 )
                 rows_before, full_before = rows_before + 1, full_before + n_full
                 ranks[kind] += 1
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STORED.split(", ")])
+                held += len(text or "")
+                if held > HELD_CHARS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
