@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +38,7 @@ from farelens.llm.common import byte_alphabet, store
 WIDTH = 32_768
 MOST_PAIRS = 500_000
 HELD_KEYS = 2_000_000
-HELD_BYTES = 8_000_000
+HELD_CHARS = 4_000_000
 SPACE_MARK = "▁"
 
 PIECES = (
@@ -76,10 +76,11 @@ class ByteLevel:
         for token, i in vocabulary.items():
             known = i not in special and all(c in alphabet for c in token)
             self.bytes[i] = bytes(alphabet[c] for c in token) if known else token.encode()
-        self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = True
         ranks = {b: i for i, b in enumerate(self.bytes) if b and i not in special}
         self.fast = self._ranked(settings, ranks)
+        if self.fast is None:
+            self.coder = Tokenizer.from_file(path)
+            self.coder.encode_special_tokens = True
 
     @staticmethod
     def _ranked(settings: dict, ranks: dict[bytes, int]):
@@ -104,10 +105,10 @@ class ByteLevel:
 
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if self.fast is not None:
-            return self.fast.encode_ordinary(" " + text)
-        return self.coder.encode(" " + text, add_special_tokens=False).ids
+            return self.fast.encode_to_numpy(" " + text, disallowed_special=()).astype("<u4", copy=False)
+        return np.array(self.coder.encode(" " + text, add_special_tokens=False).ids, "<u4")
 
 
 class Pieces:
@@ -123,8 +124,8 @@ class Pieces:
             is_byte = self.coder.is_byte(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if is_byte else piece.replace(SPACE_MARK, " ").encode())
 
-    def encode(self, text: str) -> list[int]:
-        return self.coder.encode(text)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.coder.encode(texts, num_threads=1)
 
 
 @lru_cache(maxsize=1)
@@ -151,24 +152,44 @@ def diagonal_cuts(a_ends: np.ndarray, b_ends: np.ndarray, width: int) -> tuple[n
     return low, d - low
 
 
+def joined_bytes(parts: list[bytes], ids: Iterable[int]) -> bytes:
+    return b"".join(map(parts.__getitem__, ids))
+
+
+def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """(doc_id, text) rows, in lists of at most ``HELD_CHARS`` characters or one text."""
+    held, chars = [], 0
+    for docs in batches:
+        for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
+            if held and chars + len(text or "") > HELD_CHARS:
+                yield held
+                held, chars = [], 0
+            held.append((doc, text or ""))
+            chars += len(text or "")
+    if held:
+        yield held
+
+
 def pieces_of(path_a: str, path_b: str, width: int):
     """Batches of texts to rows of ``PIECES``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a_coder, a_sizes, b_coder, b_sizes = coders(path_a, path_b)
-        row, rows, held = TaskContext.get().partitionId() << 40, [], 0
-        for docs in batches:
-            for doc, text in zip(docs["doc_id"], docs["text"], strict=True):
+        row = TaskContext.get().partitionId() << 40
+        for held in blocks(batches):
+            rows = []
+            for (doc, text), b_list in zip(held, b_coder.encode([text for _, text in held]), strict=True):
                 row += 1
-                whole = (" " + text).encode() if text else b""
-                a_list, b_list = (a_coder.encode(text), b_coder.encode(text)) if text else ([], [])
-                same = whole == b"".join(map(a_coder.bytes.__getitem__, a_list)) == b"".join(
-                    map(b_coder.bytes.__getitem__, b_list)
-                )
-                if not text or not same:
+                a, whole = a_coder.encode(text), (" " + text).encode()
+                # Ranks go by the bytes of the text itself, so only other tokenizers need a look at theirs.
+                same = a_coder.fast is not None or joined_bytes(a_coder.bytes, a.tolist()) == whole
+                if not text or not same or joined_bytes(b_coder.bytes, b_list) != whole:
                     rows.append((row, doc, 0, 0, 0, 0, 0, 0, b"", b""))
                     continue
-                a, b = np.array(a_list, "<u4"), np.array(b_list, "<u4")
+                b = np.array(b_list, "<u4")
+                if len(a) + len(b) <= width:
+                    rows.append((row, doc, 0, 1, 0, 0, len(a), len(b), a.tobytes(), b.tobytes()))
+                    continue
                 a_ends, b_ends = np.cumsum(a_sizes[a], dtype=np.int64), np.cumsum(b_sizes[b], dtype=np.int64)
                 at_a, at_b = diagonal_cuts(a_ends, b_ends, width)
                 for p in range(len(at_a) - 1):
@@ -179,11 +200,6 @@ def pieces_of(path_a: str, path_b: str, width: int):
                             k - i, m - j, a[i : k + 1].tobytes(), b[j : m + 1].tobytes(),
                         )
                     )
-                held += 4 * (len(a) + len(b))
-                if held > HELD_BYTES:
-                    yield pd.DataFrame(rows, columns=named(PIECES))
-                    rows, held = [], 0
-        if rows:
             yield pd.DataFrame(rows, columns=named(PIECES))
 
     return run
@@ -272,16 +288,16 @@ def joined(ids: np.ndarray) -> str:
     return ",".join(map(str, ids.tolist()))
 
 
-def search(piece: Piece, shared) -> tuple[int, int, list[tuple[int, int]]]:
+def search(piece: Piece, shared) -> tuple[int, int, list[dict]]:
     """Links whose count is their B id's highest, the sum of counts, and links with rarer pairs."""
     keys, counts, b_best = shared
-    pairs = piece.pairs()
-    at = np.searchsorted(keys, pairs)
-    known = keys[np.minimum(at, len(keys) - 1)] == pairs if len(keys) else np.zeros(len(pairs), bool)
-    n = counts[at[known]]
-    best = int((n == b_best[piece.link_b[known]]).sum())
-    rare, times = np.unique(pairs[~known], return_counts=True)
-    return best, int(n.sum()), [{"pair": p, "n": m} for p, m in zip(rare.tolist(), times.tolist(), strict=True)]
+    pairs, times = np.unique(piece.pairs(), return_counts=True)
+    at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
+    known = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
+    n, seen = counts[at[known]], times[known]
+    best = int(seen[n == b_best[pairs[known] & 0xFFFFFFFF]].sum())
+    rare = zip(pairs[~known].tolist(), times[~known].tolist(), strict=True)
+    return best, int(n @ seen), [{"pair": p, "n": m} for p, m in rare]
 
 
 def findings(path_a: str, path_b: str, shared):
