@@ -2,19 +2,20 @@
 
 A known word adds its log frequency in each language. An unseen one adds the mean log frequency of
 its character 5-grams, if any of them is known, else of its 4-grams, and so on down to single
-characters. The language with the largest sum wins; its share among all is the score.
+characters. The language with the largest sum wins; its share among all is the score. ``known`` is the
+share of the text's words that training texts of that language have.
 
 The model is fitted on a bounded sample: ``SAMPLE`` documents per language in the mean, picked by a
-digest, of the ``LANGUAGES`` with the most documents; of the words seen, ``KNOWN_WORDS`` are kept as
-known, and ``KNOWN_GRAMS`` of each length. Its size is bounded by these parameters, so it is
-broadcast. Whole texts are scored where they lie, without a shuffle; word sums are cached per worker
-up to ``CACHED_WORDS``.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if
-nothing could be learned; a text with no known word or character gets the language with the most
-training words, of equal sums the first by name; languages that are null are not learned from;
-repeated rows are judged alike; input columns with the names of the results are replaced, all others
-kept.
+digest; every language and every word and character run of the sample is kept. A key holds only the
+languages it occurs in, so the model is as large as the sample has (key, language) pairs. It is
+broadcast; whole texts are scored where they lie, without a shuffle. Sums of unseen words are cached
+per worker, up to ``CACHED_BYTES``.
+
+Words are runs of letters and the marks on them. Defined cases: a null text, or one without a letter,
+is ``und`` with score 0; so is every text if nothing could be learned; a text with no known word or
+character gets the language with the most training words, of equal sums the first by name; languages
+that are null are not learned from; repeated rows are judged alike; a text of any length is read
+whole; input columns with the names of the results are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -26,31 +27,60 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from farelens.llm.common import store
 
 SAMPLE = 2500
-LANGUAGES = 500
-KNOWN_WORDS = 40_000
-KNOWN_GRAMS = 10_000
 LONGEST = 5
-CACHED_WORDS = 200_000
+CACHED_BYTES = 16_000_000
 UNDETERMINED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+# Up to U+024F the letters are these; beyond, a general pattern finds letters with their marks.
+NEAR_LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏ]+")
+FAR = re.compile("[ɐ-\U0010ffff]")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _SHARES = 1 << 20
 
 
+@dataclass(frozen=True)
+class Table:
+    """Log frequencies of keys by language: those of a key's own languages, and one for all the others.
+
+    Key ``rows[key]`` = r has the languages ``lang[start[r]:start[r + 1]]``, whose log frequencies lie
+    ``gain`` above ``floor``, that of a key that a language does not have.
+    """
+
+    rows: dict[str, int]
+    start: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    floor: np.ndarray
+
+    def gains(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Languages and gains of rows ``at``, one behind the other."""
+        first, sizes = self.start[at], self.start[at + 1] - self.start[at]
+        ends = np.cumsum(sizes)
+        places = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.lang[places], self.gain[places]
+
+    def total(self, at: np.ndarray) -> np.ndarray:
+        """Sum of the log frequencies of rows ``at``, by language."""
+        lang, gain = self.gains(at)
+        return len(at) * self.floor + np.bincount(lang, gain, len(self.floor))
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    words: dict[str, np.ndarray]  # log frequency by language
-    grams: tuple[dict[str, np.ndarray], ...]  # by length, from 1
+    words: Table
+    grams: tuple[Table, ...]  # by length, from 1
     prior: np.ndarray  # training words by language
 
 
 def letter_runs(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    folded = text.lower()
+    return (LETTERS if FAR.search(folded) else NEAR_LETTERS).findall(folded)
 
 
 def grams_of(word: str, length: int) -> list[str]:
@@ -80,113 +110,119 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def sampled(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """About ``per_language`` documents of each language; all of a language that has fewer."""
     usable = docs.select("doc_id", "lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each class of the model
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SHARES)) / F.lit(_SHARES)
     return usable.join(F.broadcast(sizes), "lang").filter(share < F.lit(per_language) / F.col("n")).select("lang", "text")
 
 
-def _logs(rows: list, languages: tuple[str, ...], totals: np.ndarray) -> dict[str, np.ndarray]:
-    """Smoothed log frequency by language of each key in (key, by) rows."""
-    at, size = {a: i for i, a in enumerate(languages)}, len(rows)
-    out = {}
-    for r in rows:
-        counts = np.zeros(len(languages))
-        for lang, n in r["by"]:
-            counts[at[lang]] = n
-        out[r["key"]] = np.log((counts + 0.5) / (totals + 0.5 * (size + 1)))
-    return out
+def key_table(counts: pd.DataFrame, languages: tuple[str, ...]) -> Table:
+    """Smoothed log frequencies out of (key, lang, n) rows, a row for each pair."""
+    ordered = counts.sort_values(["key", "lang"])
+    lang = pd.Index(languages).get_indexer(ordered["lang"])
+    keys, n = ordered["key"].to_numpy(), ordered["n"].to_numpy(np.float64)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    totals = np.bincount(lang, n, len(languages))
+    spread = totals + 0.5 * (len(first) + 1)
+    return Table(
+        rows={key: i for i, key in enumerate(keys[first])},
+        start=np.append(first, len(keys)),
+        lang=lang.astype(np.int32),
+        gain=np.log((n + 0.5) / 0.5),
+        floor=np.log(0.5 / spread),
+    )
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model:
     """A model from text and lang of ``docs``."""
     counted = sampled(docs, per_language).mapInPandas(_count_words, "lang string, word string, n long")
     words = store(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = tuple(sorted(totals))
-    prior = np.array([totals[a] for a in languages], float)
-
-    def top(df: DataFrame, key: str, most: int) -> list:
-        merged = df.groupBy(F.col(key).alias("key")).agg(
-            F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")
-        )
-        return merged.orderBy(F.desc("total"), "key").limit(most).collect()
-
     grams = store(
         words.mapInPandas(_count_grams, "lang string, length int, gram string, n long")
         .groupBy("lang", "length", "gram")
         .agg(F.sum("n").alias("n")),
         "language-grams",
     )
-    of_length = {(r.length, r.lang): r.n for r in grams.groupBy("length", "lang").agg(F.sum("n").alias("n")).collect()}
-    by_length = tuple(
-        _logs(
-            top(grams.filter(F.col("length") == k), "gram", KNOWN_GRAMS),
-            languages,
-            np.array([of_length.get((k, a), 0) for a in languages], float),
-        )
-        for k in range(1, LONGEST + 1)
+    found = words.withColumnRenamed("word", "key").toPandas()  # bounded by the sample
+    totals = found.groupby("lang")["n"].sum().sort_index()
+    languages = tuple(totals.index)
+    by_length = (grams.filter(F.col("length") == k).select(F.col("gram").alias("key"), "lang", "n") for k in range(1, LONGEST + 1))
+    return Model(
+        languages,
+        key_table(found, languages),
+        tuple(key_table(g.toPandas(), languages) for g in by_length),
+        totals.to_numpy(np.float64),
     )
-    return Model(languages, _logs(top(words, "word", KNOWN_WORDS), languages, prior), by_length, prior)
 
 
 class Scorer:
-    """Sums of log frequencies of texts, with words cached as row numbers."""
+    """Sums of log frequencies of texts; those of unseen words are cached as rows behind the known ones."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.reset()
-
-    def reset(self) -> None:
-        self.rows = {w: i for i, w in enumerate(self.model.words)}
-        width = max(len(self.model.languages), 1)
-        self.values = np.zeros((len(self.rows) + 1024, width))
-        if self.rows:
-            self.values[: len(self.rows)] = np.stack(list(self.model.words.values()))
+        self.known = len(model.words.rows)
+        width = max(len(model.languages), 1)
+        self.most = max(CACHED_BYTES // (8 * width), 1)
+        self.values = np.zeros((min(self.most, 1024), width))
+        self.cached: dict[str, int] = {}
 
     def unseen(self, word: str) -> np.ndarray | float:
-        for known, length in zip(reversed(self.model.grams), range(LONGEST, 0, -1), strict=True):
-            found = [known[g] for g in grams_of(word, length) if g in known]
-            if found:
-                return np.mean(found, axis=0)
+        for table, length in zip(reversed(self.model.grams), range(LONGEST, 0, -1), strict=True):
+            at = [table.rows[g] for g in grams_of(word, length) if g in table.rows]
+            if at:
+                return table.total(np.array(at)) / len(at)
         return 0.0
 
     def learn(self, words: set[str]) -> None:
-        if len(self.rows) + len(words) > len(self.values):
-            grown = np.zeros((max(2 * len(self.values), len(self.rows) + len(words)), self.values.shape[1]))
+        need = len(self.cached) + len(words)
+        if need > len(self.values):
+            grown = np.zeros((max(need, min(self.most, 2 * len(self.values))), self.values.shape[1]))
             grown[: len(self.values)] = self.values
             self.values = grown
         for word in words:
-            self.values[len(self.rows)] = self.unseen(word)
-            self.rows[word] = len(self.rows)
-
-    def score(self, text: str | None) -> tuple[str, float]:
+            self.values[len(self.cached)] = self.unseen(word)
+            self.cached[word] = self.known + len(self.cached)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Known words by their row, others by their row in the cache behind those."""
+        rows = self.model.words.rows
+        at = [rows.get(w, -1) for w in words]
+        gaps = [i for i, row in enumerate(at) if row < 0]
+        if gaps:
+            own = {words[i] for i in gaps}
+            if not own <= self.cached.keys():
+                if len(self.cached) + len(own) > self.most:
+                    self.cached = {}
+                self.learn(own.difference(self.cached))
+            for i in gaps:
+                at[i] = self.cached[words[i]]
+        return np.array(at, np.int64)
+
+    def score(self, text: str | None) -> tuple[str, float, float]:
         words = letter_runs(text) if text else []
         if not words or not self.model.languages:
-            return UNDETERMINED, 0.0
-        new = set(words).difference(self.rows)
-        if new:
-            if len(self.rows) + len(new) > len(self.model.words) + CACHED_WORDS:
-                self.reset()
-                new = set(words).difference(self.rows)
-            self.learn(new)
-        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        sums = self.values[at].sum(axis=0)
+            return UNDETERMINED, 0.0, 0.0
+        at = self.places(words)
+        seen = at[at < self.known]
+        lang, gain = self.model.words.gains(seen)
+        sums = len(seen) * self.model.words.floor + np.bincount(lang, gain, len(self.model.languages))
+        sums = sums + self.values[at[at >= self.known] - self.known].sum(axis=0)
         if not sums.any():
             sums = np.log(self.model.prior)
         best = int(np.argmax(sums))
-        return self.model.languages[best], float(1 / np.exp(sums - sums[best]).sum())
+        share = float(1 / np.exp(sums - sums[best]).sum())
+        return self.model.languages[best], share, float((lang == best).sum() / len(words))
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> Column:
-    """struct<lang_pred, score> of a text column of ``docs``."""
+    """struct<lang_pred, score, known> of a text column of ``docs``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(held.value)
         for texts in batches:
-            yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang_pred", "score", "known"])
 
-    return F.pandas_udf(run, "lang_pred string, score double")(F.col(text))
+    return F.pandas_udf(run, "lang_pred string, score double, known double")(F.col(text))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -196,9 +232,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score."""
-    known = docs.withColumn("__found", identified(docs, model))
-    return known.withColumns({"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")
+    """Adds lang_pred, score and known."""
+    found = docs.withColumn("__found", identified(docs, model))
+    return found.withColumns({c: F.col(f"__found.{c}") for c in ("lang_pred", "score", "known")}).drop("__found")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -206,4 +242,4 @@ def language_report(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text", "lang")
     model = fit(texts.filter(~held_out()))
     judged = with_language(texts.select("doc_id", "text"), model)
-    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "known")

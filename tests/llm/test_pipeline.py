@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from conftest import FOLDER
 from frames import empty, frame
@@ -18,7 +20,9 @@ def test_stages_pass_on_documents(spark):
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     judged = weak_quality.quality_report(quality[0]).filter("kept")
     assert ids(quality[1]) == ids(judged)
-    judged = langid.with_language(language[0], langid.fit(language[0])).filter("lang_pred <> 'und' AND score >= 0.5")
+    judged = langid.with_language(language[0], langid.fit(language[0])).filter(
+        f"lang_pred <> 'und' AND known >= {corpus_pipeline.LEAST_KNOWN}"
+    )
     assert ids(language[1]) == ids(judged)
     judged = minhash_join.duplicate_report(near[0], minhash_join.AT_80).filter("kept")
     assert ids(near[1]) == ids(judged)
@@ -37,6 +41,18 @@ def test_awkward_and_empty_tables(spark):
             df = store(stage(spark, df, FOLDER), name)
 
 
+def test_text_in_no_learned_language_goes_and_clean_text_stays(spark):
+    rng = random.Random(3)
+    words = {a: [a + "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 7))) for _ in range(400)] for a in "xyz"}
+    rows = [(i, " ".join(rng.choices(words["xyz"[i % 3]], k=rng.randrange(5, 300))), "xyz"[i % 3], "s", 0) for i in range(120)]
+    other = [(1000 + i, " ".join("".join(rng.choices("qrstuvw", k=6)) for _ in range(n)), None, "s", 0) for i, n in enumerate((4, 60, 3000))]
+    # Half of the words are those of a language: it stays.
+    mixed = [(2000, " ".join(w for pair in zip(rng.choices(words["x"], k=80), other[1][1].split() * 2, strict=False) for w in pair), None, "s", 0)]
+    stage = dict(corpus_pipeline.STAGES)["identify_language"]
+    left = sorted(r.doc_id for r in stage(spark, frame(spark, rows + other + mixed), FOLDER).collect())
+    assert left == [*range(120), 2000]
+
+
 def test_near_duplicates_from_80_percent(spark):
     # Overlapping runs of a sequence: n - s and n + s are the shared and all shingles of a pair s words apart.
     rows, expected = [], []
