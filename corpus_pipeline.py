@@ -9,8 +9,8 @@ from farelens.llm import langid, minhash_join, mixing, packing, weak_quality
 from farelens.llm.common import store, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-# A text whose likeliest language is not likelier than all others together is rejected.
-LEAST_SCORE = 0.5
+# Least share of a text's words that its language has in the documents it was learnt from.
+LEAST_KNOWN = 0.2
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +19,13 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the documents themselves teach."""
+    """Documents in one of the languages that the documents themselves teach.
+
+    A text without a letter goes, and one of whose words too few are known; both go whatever their length.
+    """
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
     judged = langid.with_language(docs.select("text", row), langid.fit(docs))
-    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    sure = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("known") >= LEAST_KNOWN)
     return judged.filter(sure).select("__row.*")
 
 
