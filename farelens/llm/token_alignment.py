@@ -38,7 +38,7 @@ from farelens.llm.common import byte_alphabet, store
 WIDTH = 32_768
 MOST_PAIRS = 500_000
 HELD_KEYS = 2_000_000
-HELD_CHARS = 4_000_000
+HELD_CHARS = 500_000
 SPACE_MARK = "▁"
 
 PIECES = (
@@ -64,9 +64,6 @@ class ByteLevel:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as file:
             settings = json.load(file)
         special = {t["id"] for t in settings.get("added_tokens", ())}
@@ -79,6 +76,9 @@ class ByteLevel:
         ranks = {b: i for i, b in enumerate(self.bytes) if b and i not in special}
         self.fast = self._ranked(settings, ranks)
         if self.fast is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
+            from tokenizers import Tokenizer
+
             self.coder = Tokenizer.from_file(path)
             self.coder.encode_special_tokens = True
 
@@ -135,6 +135,11 @@ def coders(path_a: str, path_b: str) -> tuple[ByteLevel, np.ndarray, Pieces, np.
     return a, np.array([len(x) for x in a.bytes], "<u4"), b, np.array([len(x) for x in b.bytes], "<u4")
 
 
+def id_type(sizes: np.ndarray) -> str:
+    """The type in which ids of a vocabulary are stored."""
+    return "<u2" if len(sizes) <= 1 << 16 else "<u4"
+
+
 def diagonal_cuts(a_ends: np.ndarray, b_ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """How many ends of A and of B are among the first 0, width, 2 width, ... merged ends, A before B in ties.
 
@@ -175,6 +180,7 @@ def pieces_of(path_a: str, path_b: str, width: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a_coder, a_sizes, b_coder, b_sizes = coders(path_a, path_b)
+        a_type, b_type = id_type(a_sizes), id_type(b_sizes)
         row = TaskContext.get().partitionId() << 40
         for held in blocks(batches):
             rows = []
@@ -186,7 +192,7 @@ def pieces_of(path_a: str, path_b: str, width: int):
                 if not text or not same or joined_bytes(b_coder.bytes, b_list) != whole:
                     rows.append((row, doc, 0, 0, 0, 0, 0, 0, b"", b""))
                     continue
-                b = np.array(b_list, "<u4")
+                a, b = a.astype(a_type), np.array(b_list, b_type)
                 if len(a) + len(b) <= width:
                     rows.append((row, doc, 0, 1, 0, 0, len(a), len(b), a.tobytes(), b.tobytes()))
                     continue
@@ -210,7 +216,8 @@ class Piece:
 
     def __init__(self, row, a_sizes: np.ndarray, b_sizes: np.ndarray):
         self.n_a, self.n_b = row.n_a, row.n_b
-        self.a_ids, self.b_ids = (np.frombuffer(x, "<u4").astype(np.int64) for x in (row.a_ids, row.b_ids))
+        held = (row.a_ids, a_sizes), (row.b_ids, b_sizes)
+        self.a_ids, self.b_ids = (np.frombuffer(ids, id_type(sizes)).astype(np.int64) for ids, sizes in held)
         self.a_ends = row.a_at + np.cumsum(a_sizes[self.a_ids[: self.n_a]], dtype=np.int64)
         self.b_ends = row.b_at + np.cumsum(b_sizes[self.b_ids[: self.n_b]], dtype=np.int64)
         # A's ends up to each end of B; the last of them is that end itself where a group closes.
