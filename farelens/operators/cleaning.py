@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from farelens.functions.clock import parsed, seconds_between
 from farelens.functions.missing import num, ratio
@@ -203,6 +203,64 @@ def clean_summary(
     )
 
 
+def cleaned_groups(
+    bids: DataFrame, row_order: list[str], soft: bool = True, only_accepted: bool = False
+) -> tuple[DataFrame, list[str]]:
+    """A row per group of copies: its first row, whether that stays, and its rows per problem.
+
+    One grouped aggregate with map-side combine, so a large group of copies is a row per task before
+    anything moves.
+    """
+    marks = anomaly_predicates()
+    measured = with_measures(bids)
+    drop = any_of(list(marks.values())) if not soft else F.lit(False)
+    if only_accepted:
+        marks["not_accepted"] = not_accepted()
+        drop = drop | not_accepted()
+    rest = [c for c in measured.columns if c not in row_order]
+    first = F.min(F.struct(*row_order, drop.alias("_drop"), F.struct(*rest).alias("_rest")))
+    counts = [F.count_if(p).alias(f"_{n}") for n, p in marks.items()]
+    groups = measured.groupBy(*[F.col(c).alias(f"_key_{c}") for c in DUPLICATE_KEY]).agg(
+        first.alias("_first"), F.count("*").alias("_copies"), *counts
+    )
+    return groups, list(marks)
+
+
+def clean_and_report(
+    bids: DataFrame, row_order: list[str], path: str, soft: bool = True, only_accepted: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Write the cleaned bids to ``path`` and report on the cleaning, in one pass over the bids.
+
+    The counts are observed on the groups of copies as they are written, in the last stage of the
+    write, where each task counts once however often executors are lost. Returns problems with their
+    rows (non-zero only), and initial, removed and kept rows with percents.
+    """
+    spark = bids.sparkSession
+    groups, marks = cleaned_groups(bids, row_order, soft, only_accepted)
+    seen = Observation()
+    totals = [
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("initial"),
+        F.count_if(~F.col("_first._drop")).alias("kept"),
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("exact_duplicate"),
+        *[F.coalesce(F.sum(f"_{n}"), F.lit(0)).alias(n) for n in marks],
+    ]
+    kept = groups.observe(seen, *totals).filter(~F.col("_first._drop"))
+    columns = [F.col(f"_first.{c}") if c in row_order else F.col(f"_first._rest.{c}") for c in with_measures(bids).columns]
+    kept.select(*columns).write.mode("overwrite").parquet(path)
+    found = seen.get
+    problems = [(n, PROBLEM_TEXT[n], found[n]) for n in ("exact_duplicate", *marks) if found[n]]
+    counts = spark.createDataFrame(problems, "problem string, description string, n_rows bigint")
+    removed, initial = F.col("initial") - F.col("kept"), F.col("initial")
+    summary = spark.createDataFrame([(found["initial"], found["kept"])], "initial bigint, kept bigint").select(
+        "initial",
+        removed.alias("removed"),
+        (ratio(removed, initial) * 100).alias("removed_pct"),
+        "kept",
+        (ratio(F.col("kept"), initial) * 100).alias("kept_pct"),
+    )
+    return counts, summary
+
+
 def bids_per_order(bids: DataFrame) -> DataFrame:
     """Distinct orders and mean bids per order (0 without orders)."""
     per_order = bids.groupBy("order_id").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from farelens.schema import (
     PLATFORMS,
     REQUIRED_BID_COLUMNS,
     REQUIRED_ORDER_COLUMNS,
+    UNREADABLE,
 )
 
 # Fixed values for absent optional fields.
@@ -86,11 +87,17 @@ def _order_rules() -> dict[str, Column]:
 
 
 def mark_order_errors(orders: DataFrame) -> DataFrame:
-    """Add ``errors``: the names of required fields that are absent or out of range."""
+    """Add ``errors``: the names of required fields that are absent or out of range.
+
+    A request that was read with its text kept (``UNREADABLE``) has that name first where the text
+    could not be read.
+    """
     marks = [
         F.when(~F.coalesce(rule, F.lit(False)), F.lit(name))
         for name, rule in _order_rules().items()
     ]
+    if UNREADABLE in orders.columns:
+        marks.insert(0, F.when(F.col(UNREADABLE).isNotNull(), F.lit(UNREADABLE)))
     return orders.withColumn("errors", F.array_compact(F.array(*marks)))
 
 

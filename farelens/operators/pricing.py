@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from farelens.functions import fare
 from farelens.functions.missing import num, ratio
+from farelens.operators.grid_scoring import GridScorer, with_curves
 from farelens.operators.scoring import Scorer
 
 COARSE_POINTS = 150
@@ -113,17 +114,36 @@ def with_maxima(limited: DataFrame, scorer: Scorer, fine: int = FINE_POINTS) ->
     )
 
 
+def curve_points(orders: DataFrame, scorer: GridScorer, coarse: int, fine: int) -> DataFrame:
+    """The points of ``scored_points`` with both maxima; each candidate is scored once."""
+    needed = ["order_id", "price_start_local", "distance_in_meters", "duration_in_seconds"]
+    prepared = scorer.prepare(orders)
+    passing = [c for c in scorer.inputs if c not in needed and c in prepared.columns]
+    ranged = with_search_range(spread_orders(prepared.select(*needed, *passing)))
+    curved = with_curves(ranged, scorer, coarse, fine, SCAN_PROBABILITY).drop(*passing)
+    rest = [c for c in curved.columns if c != "probabilities"]
+    points = curved.select(*rest, F.posexplode("probabilities").alias("point", "probability"))
+    price = grid_price(F.col("point"), F.col("search_min"), F.col("scan_max"), fine)
+    priced = points.withColumn("price", price)
+    return priced.withColumns(
+        {"expected_value": F.col("price") * F.col("probability"), "is_valid": is_valid_price()}
+    )
+
+
 def normalized(probability: Column) -> Column:
     highest = F.col("max_probability")
     return F.when(highest > 0, probability / highest).otherwise(probability)
 
 
 def price_curve(
-    orders: DataFrame, scorer: Scorer, coarse: int = COARSE_POINTS, fine: int = FINE_POINTS
+    orders: DataFrame, scorer: Scorer | GridScorer, coarse: int = COARSE_POINTS, fine: int = FINE_POINTS
 ) -> DataFrame:
     """Every fine candidate price of every order with all its scores."""
-    maxima = with_maxima(with_scan_limit(orders, scorer, coarse), scorer, fine)
-    points = scored_points(maxima, scorer, fine)
+    if isinstance(scorer, GridScorer):
+        points = curve_points(orders, scorer, coarse, fine)
+    else:
+        maxima = with_maxima(with_scan_limit(orders, scorer, coarse), scorer, fine)
+        points = scored_points(maxima, scorer, fine)
     share = ratio(F.col("expected_value"), F.col("max_expected_value"))
     curve = points.withColumns(
         {"normalized_probability": normalized(F.col("probability")), "normalized_ev": share}
@@ -164,7 +184,7 @@ def _zone_columns() -> list[Column]:
 
 
 def sweep(
-    orders: DataFrame, scorer: Scorer, coarse: int = COARSE_POINTS, fine: int = FINE_POINTS
+    orders: DataFrame, scorer: Scorer | GridScorer, coarse: int = COARSE_POINTS, fine: int = FINE_POINTS
 ) -> DataFrame:
     """One row per order: the optimum, the most probable price and sums per zone."""
     curve = price_curve(orders, scorer, coarse, fine)
@@ -307,7 +327,7 @@ def zone_thresholds() -> Column:
 
 def recommend_batch(
     orders: DataFrame,
-    scorer: Scorer,
+    scorer: Scorer | GridScorer,
     coarse: int = COARSE_POINTS,
     fine: int = FINE_POINTS,
     timestamp: Column | None = None,

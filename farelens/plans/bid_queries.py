@@ -114,10 +114,10 @@ def _clean_soft(d: Data) -> DataFrame:
     return rounded(cleaning.clean(d.bids, d.row_order).select(*KEY, "pickup_ratio"))
 
 
-@query(
-    "clean_strict",
-    f"SELECT {K}, {o.r('pickup_ratio')} FROM marked WHERE NOT exact_duplicate AND NOT {o.ANY_FLAG}",
-)
+CLEAN_STRICT_SQL = f"SELECT {K}, {o.r('pickup_ratio')} FROM marked WHERE NOT exact_duplicate AND NOT {o.ANY_FLAG}"
+
+
+@query("clean_strict", CLEAN_STRICT_SQL)
 def _clean_strict(d: Data) -> DataFrame:
     return rounded(cleaning.clean(d.bids, d.row_order, soft=False).select(*KEY, "pickup_ratio"))
 
@@ -147,16 +147,18 @@ def _mask_union(d: Data) -> DataFrame:
 _COUNTED = (*o.CLEAN_FLAGS, "exact_duplicate", "not_accepted")
 
 
-@query(
-    "anomaly_counts",
+ANOMALY_COUNTS_SQL = (
     "SELECT * FROM ("
     + " UNION ALL ".join(
         f"SELECT '{n}' AS problem, '{cleaning.PROBLEM_TEXT[n]}' AS description,"
         f" CAST(count(*) FILTER (WHERE {'is_done <> ' + chr(39) + 'done' + chr(39) if n == 'not_accepted' else n}) AS BIGINT) AS n_rows FROM marked "
         for n in _COUNTED
     )
-    + ") counted WHERE n_rows > 0",
+    + ") counted WHERE n_rows > 0"
 )
+
+
+@query("anomaly_counts", ANOMALY_COUNTS_SQL)
 def _anomaly_counts(d: Data) -> DataFrame:
     return cleaning.anomaly_counts(d.bids, d.row_order, only_accepted=True)
 

@@ -11,13 +11,13 @@ from farelens.plans import oracle_views as o
 from farelens.plans.data import Data
 from farelens.plans.pricing_queries import FLAT_SQL, flat_recommendation
 from farelens.plans.registry import query, rounded
-from farelens.schema import BID_FIELDS, ORDER_FIELDS, RECOMMENDATION_DDL
+from farelens.schema import BID_FIELDS, ORDER_FIELDS, RECOMMENDATION_DDL, UNREADABLE
 from farelens.session import scratch_path
 from farelens.sources import bids as bid_source
 from farelens.sources import history as history_source
 from farelens.sources import orders as order_source
 from farelens.sources import predictions
-from farelens.streaming.recommend import stream_orders, stream_recommend
+from farelens.streaming.recommend import rejected_requests, stream_orders, stream_recommend
 
 NOW = 1718558240
 
@@ -263,3 +263,40 @@ def _stream_recommend(d: Data) -> DataFrame:
     )
     stream.awaitTermination()
     return d.spark.read.parquet(f"{out}/batch=*")
+
+
+_STREAM_RULES = """CASE WHEN order_id % 17 = 3 THEN 'unreadable' END, CASE WHEN order_id % 17 = 3 THEN 'order_timestamp' END,
+ CASE WHEN order_id % 17 = 3 THEN 'distance_in_meters' END, CASE WHEN order_id % 17 = 3 THEN 'duration_in_seconds' END,
+ CASE WHEN order_id % 17 = 3 THEN 'pickup_in_meters' END, CASE WHEN order_id % 17 = 3 OR pickup_in_seconds - 5 < 0 THEN 'pickup_in_seconds' END,
+ CASE WHEN order_id % 17 = 3 THEN 'price_start_local' END,
+ CASE WHEN order_id % 17 = 3 OR driver_rating IS NULL OR driver_rating NOT BETWEEN 1 AND 5 THEN 'driver_rating' END,
+ CASE WHEN order_id % 17 = 3 OR order_id % 13 = 0 THEN 'platform' END"""
+
+
+@query(
+    "stream_rejects",
+    f"""SELECT order_id, errors = '' AS priced, errors FROM (SELECT order_id, concat_ws(',', {_STREAM_RULES}) AS errors FROM ord ) judged""",
+)
+def _stream_rejects(d: Data) -> DataFrame:
+    """A stream with negative times, absent ratings, unknown platforms and torn lines: what was priced and what was not."""
+    incoming = scratch_path(d.spark, "incoming")
+    altered = d.orders.withColumns(
+        {
+            "pickup_in_seconds": F.col("pickup_in_seconds") - 5,
+            "platform": F.when(F.col("order_id") % 13 == 0, "desktop").otherwise(F.col("platform")),
+        }
+    )
+    line = F.to_json(F.struct(*altered.columns))
+    torn = F.concat(F.lit('{"order_id": '), F.col("order_id").cast("string"), F.lit(', "platform'))
+    altered.select(F.when(F.col("order_id") % 17 == 3, torn).otherwise(line).alias("value")).write.text(incoming)
+    out, progress = scratch_path(d.spark, "priced"), scratch_path(d.spark, "progress")
+    stream = stream_recommend(stream_orders(d.spark, incoming), d.users, d.drivers, d.scorer, out, progress)
+    stream.awaitTermination()
+    priced = d.spark.read.parquet(f"{out}/batch=*").select("order_id", F.lit(True).alias("priced"), F.lit("").alias("errors"))
+    refused = rejected_requests(d.spark, f"{out}_rejected")
+    named = F.regexp_extract(UNREADABLE, r'"order_id": (\d+)', 1).try_cast("bigint")
+    return priced.unionByName(
+        refused.select(
+            F.coalesce("order_id", named).alias("order_id"), F.lit(False).alias("priced"), F.array_join("errors", ",").alias("errors")
+        )
+    )

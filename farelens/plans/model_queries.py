@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from farelens.operators import cleaning, evaluation, modelling
 from farelens.operators.features import BASE_FEATURES
 from farelens.operators.pricing import recommend_batch
-from farelens.operators.scoring import score_model
+from farelens.operators.tree_sweep import score_trees
 from farelens.plans.data import KEY, Data
 from farelens.plans.pricing_queries import flat_recommendation
 from farelens.plans.registry import query, rounded
@@ -194,4 +194,4 @@ def _sink_feature_names(d: Data) -> DataFrame:
 def _score_fn(d: Data) -> DataFrame:
     """Recommendations with the trained model as the scorer."""
     model, _ = fitted(d)
-    return flat_recommendation(recommend_batch(d.prepared, score_model(model)))
+    return flat_recommendation(recommend_batch(d.prepared, score_trees(d.spark, model)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from farelens.functions import display
 from farelens.functions.missing import num
-from farelens.operators import pricing, quotes
+from farelens.operators import grid_scoring, pricing, quotes
 from farelens.plans import oracle_views as o
 from farelens.plans.data import KEY, Data
 from farelens.plans.registry import query, rounded
@@ -342,6 +342,17 @@ def _recommend_batch(d: Data) -> DataFrame:
     return flat_recommendation(d.recommended)
 
 
+@query("score_external", FLAT_SQL)
+def _score_external(d: Data) -> DataFrame:
+    """Recommendations by a scorer that the session's setting names."""
+    d.spark.conf.set(grid_scoring.SCORER_SETTING, "farelens.operators.grid_scoring:logistic")
+    try:
+        scorer = grid_scoring.configured_scorer(d.spark)
+    finally:
+        d.spark.conf.unset(grid_scoring.SCORER_SETTING)
+    return flat_recommendation(pricing.recommend_batch(d.prepared, scorer))
+
+
 @query("result_coercion", FLAT_SQL)
 def _result_coercion(d: Data) -> DataFrame:
     return flat_recommendation(as_recommendation_schema(d.recommended))

@@ -58,6 +58,9 @@ REQUIRED_ORDER_COLUMNS = (
 
 ORDER_DDL = "order_id bigint, " + ", ".join(f"{k} {v}" for k, v in ORDER_FIELDS.items())
 
+# Holds a record's own text where it does not have the declared form, else null.
+UNREADABLE = "unreadable"
+
 USER_HISTORY_FIELDS = {
     "user_id": "bigint",
     "user_order_count": "bigint",

@@ -10,7 +10,8 @@ from farelens.operators.cleaning import parse_times
 from farelens.schema import BID_FIELDS
 
 
-def _typed(name: str, kind: str) -> Column:
+def typed_column(name: str, kind: str) -> Column:
+    """A text column as its fixed type; times and texts stay as they are."""
     text = F.col(name)
     if kind == "bigint":
         # "5.0" is how a whole number looks in a column that once held a gap.
@@ -32,7 +33,7 @@ def scan_bids(spark: SparkSession, path: str) -> DataFrame:
     else:
         raw = spark.read.option("header", True).csv(path)
         columns = [
-            _typed(c, BID_FIELDS[c]) if c in BID_FIELDS else F.col(c) for c in raw.columns
+            typed_column(c, BID_FIELDS[c]) if c in BID_FIELDS else F.col(c) for c in raw.columns
         ]
         bids = parse_times(raw.select(*columns))
     return nan_to_null(bids).withColumn("row_id", F.monotonically_increasing_id())
