@@ -24,9 +24,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,16 +50,21 @@ _SHARES = 1 << 20
 class Table:
     """Log frequencies of keys by language: those of a key's own languages, and one for all the others.
 
-    Key ``rows[key]`` = r has the languages ``lang[start[r]:start[r + 1]]``, whose log frequencies lie
-    ``gain`` above ``floor``, that of a key that a language does not have.
+    Key r has the languages ``lang[start[r]:start[r + 1]]``, whose log frequencies lie ``gain`` above
+    ``floor``, that of a key that a language does not have. Columns go from the driver to the workers
+    as they are; only there keys become Python strings.
     """
 
-    rows: dict[str, int]
+    keys: pa.Array
     start: np.ndarray
     lang: np.ndarray
     gain: np.ndarray
     floor: np.ndarray
 
+    @cached_property
+    def rows(self) -> dict[str, int]:
+        return {key: i for i, key in enumerate(self.keys.to_pylist())}
+
     def gains(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Languages and gains of rows ``at``, one behind the other."""
         first, sizes = self.start[at], self.start[at + 1] - self.start[at]
@@ -115,16 +123,19 @@ def sampled(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     return usable.join(F.broadcast(sizes), "lang").filter(share < F.lit(per_language) / F.col("n")).select("lang", "text")
 
 
-def key_table(counts: pd.DataFrame, languages: tuple[str, ...]) -> Table:
-    """Smoothed log frequencies out of (key, lang, n) rows, a row for each pair."""
-    ordered = counts.sort_values(["key", "lang"])
-    lang = pd.Index(languages).get_indexer(ordered["lang"])
-    keys, n = ordered["key"].to_numpy(), ordered["n"].to_numpy(np.float64)
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    totals = np.bincount(lang, n, len(languages))
-    spread = totals + 0.5 * (len(first) + 1)
+def key_table(counts: DataFrame, languages: tuple[str, ...]) -> Table:
+    """Smoothed log frequencies out of (key, lang, n) rows, a row for each pair; bounded by the sample."""
+    found = counts.select("key", "lang", "n").orderBy("key", "lang").toArrow().combine_chunks()
+    keys = found["key"].combine_chunks() if found.num_rows else pa.array([], pa.string())
+    lang = pc.index_in(found["lang"], pa.array(languages, pa.string())).to_numpy()
+    n = found["n"].to_numpy().astype(np.float64)
+    new = np.ones(len(keys), bool)
+    if len(keys) > 1:
+        new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(new)
+    spread = np.bincount(lang, n, len(languages)) + 0.5 * (len(first) + 1)
     return Table(
-        rows={key: i for i, key in enumerate(keys[first])},
+        keys=keys.filter(pa.array(new)),
         start=np.append(first, len(keys)),
         lang=lang.astype(np.int32),
         gain=np.log((n + 0.5) / 0.5),
@@ -142,15 +153,14 @@ def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model:
         .agg(F.sum("n").alias("n")),
         "language-grams",
     )
-    found = words.withColumnRenamed("word", "key").toPandas()  # bounded by the sample
-    totals = found.groupby("lang")["n"].sum().sort_index()
-    languages = tuple(totals.index)
-    by_length = (grams.filter(F.col("length") == k).select(F.col("gram").alias("key"), "lang", "n") for k in range(1, LONGEST + 1))
+    totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = tuple(sorted(totals))
+    by_length = (grams.filter(F.col("length") == k).withColumnRenamed("gram", "key") for k in range(1, LONGEST + 1))
     return Model(
         languages,
-        key_table(found, languages),
-        tuple(key_table(g.toPandas(), languages) for g in by_length),
-        totals.to_numpy(np.float64),
+        key_table(words.withColumnRenamed("word", "key"), languages),
+        tuple(key_table(g, languages) for g in by_length),
+        np.array([totals[a] for a in languages], np.float64),
     )
 
 
@@ -159,7 +169,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.known = len(model.words.rows)
+        self.known = len(model.words.keys)
         width = max(len(model.languages), 1)
         self.most = max(CACHED_BYTES // (8 * width), 1)
         self.values = np.zeros((min(self.most, 1024), width))

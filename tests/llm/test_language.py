@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from frames import clashing, documents, empty, frame
 
@@ -43,7 +44,7 @@ def table_of(frequencies, languages=("a", "b"), floor=0.0):
     start = np.arange(len(frequencies) + 1) * len(languages)
     gains = np.log(np.array(list(frequencies.values()), float)).ravel() - floor
     lang = np.tile(np.arange(len(languages)), len(frequencies)).astype(np.int32)
-    return langid.Table({k: i for i, k in enumerate(frequencies)}, start, lang, gains, np.full(len(languages), floor))
+    return langid.Table(pa.array(list(frequencies), pa.string()), start, lang, gains, np.full(len(languages), floor))
 
 
 NOTHING = table_of({})
