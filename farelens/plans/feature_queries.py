@@ -100,7 +100,24 @@ def _table_sql(columns: tuple[str, ...]) -> str:
     return _clipped(name, columns)
 
 
-@query("clip_sigma", _table_sql(_CLIPPED))
+# Only what these columns are made of; all 130 go through ``feature_table``.
+_CLIP_INPUTS = f"""SELECT {_KEY_AS_K}, price_bid_local * 1e0 / (distance_in_meters / 1000e0 + 0.1e0) AS price_per_km,
+ price_bid_local / (cost + 0.1e0) AS price_to_fuel_ratio, (price_bid_local - cost * 1.3e0) / (cost * 1.3e0 + 0.1e0) * 100 AS price_above_min_profitable_pct,
+ CASE WHEN price_start_local <> 0 THEN (price_bid_local - price_start_local) / price_start_local * 100 * (distance_in_meters / 1000e0) END AS price_inc_x_distance
+FROM (SELECT *, distance_in_meters / 1000e0 * 9e0 / 100e0 * 55e0 AS cost FROM bids ) costed"""
+_CLIP_FILLED = f"""SELECT * REPLACE (coalesce(price_inc_x_distance, med, 0e0) AS price_inc_x_distance)
+FROM clip_inputs , (SELECT median(price_inc_x_distance) AS med FROM clip_inputs ) middle"""
+
+
+def _clip_sql() -> str:
+    from farelens.plans.oracle_views import VIEWS
+
+    VIEWS.setdefault("clip_inputs", _CLIP_INPUTS)
+    VIEWS.setdefault("clip_filled", _CLIP_FILLED)
+    return _clipped("clip_filled", _CLIPPED)
+
+
+@query("clip_sigma", _clip_sql())
 def _clip_sigma(d: Data) -> DataFrame:
     wide = features.as_features(features.row_features(_keyed(d)), _CLIPPED, keep=_KK)
     return rounded(feature_table(wide, _CLIPPED).select(*_KK, *_CLIPPED), 4)
