@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farelens.functions.clock import parsed, seconds_between
 from farelens.functions.missing import num, ratio
 from farelens.schema import BID_TIMES
+from farelens.session import stored
 
 DUPLICATE_KEY = ("order_id", "driver_id", "price_bid_local", "pickup_in_meters", "tender_timestamp")
 
@@ -231,23 +232,23 @@ def clean_and_report(
 ) -> tuple[DataFrame, DataFrame]:
     """Write the cleaned bids to ``path`` and report on the cleaning, in one pass over the bids.
 
-    The counts are observed on the groups of copies as they are written, in the last stage of the
-    write, where each task counts once however often executors are lost. Returns problems with their
-    rows (non-zero only), and initial, removed and kept rows with percents.
+    The groups of copies are stored; the cleaned bids and all counts come from that one table, so they
+    agree however often executors are lost. Returns problems with their rows (non-zero only), and
+    initial, removed and kept rows with percents.
     """
     spark = bids.sparkSession
     groups, marks = cleaned_groups(bids, row_order, soft, only_accepted)
-    seen = Observation()
+    groups = stored(groups, "copies")
     totals = [
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("initial"),
         F.count_if(~F.col("_first._drop")).alias("kept"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("exact_duplicate"),
         *[F.coalesce(F.sum(f"_{n}"), F.lit(0)).alias(n) for n in marks],
     ]
-    kept = groups.observe(seen, *totals).filter(~F.col("_first._drop"))
+    kept = groups.filter(~F.col("_first._drop"))
     columns = [F.col(f"_first.{c}") if c in row_order else F.col(f"_first._rest.{c}") for c in with_measures(bids).columns]
     kept.select(*columns).write.mode("overwrite").parquet(path)
-    found = seen.get
+    found = groups.agg(*totals).first().asDict()
     problems = [(n, PROBLEM_TEXT[n], found[n]) for n in ("exact_duplicate", *marks) if found[n]]
     counts = spark.createDataFrame(problems, "problem string, description string, n_rows bigint")
     removed, initial = F.col("initial") - F.col("kept"), F.col("initial")
