@@ -44,12 +44,17 @@ def build_session(app: str = "farelens", master: str | None = None, **conf: str)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; our own only where it is unset."""
+    """Shared folder named by ``spark.checkpoint.dir``; our own only where it is unset.
+
+    A folder of our own is on this machine, which only a local master's tasks can read.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = tempfile.mkdtemp(prefix="farelens-")

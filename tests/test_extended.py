@@ -2,6 +2,7 @@
 
 import json
 import random
+from types import SimpleNamespace
 
 import pytest
 from conftest import FOLDER
@@ -14,7 +15,7 @@ from farelens.operators.pricing import with_search_range
 from farelens.operators.scoring import score_logistic
 from farelens.plans.data import Data
 from farelens.schema import BID_FIELDS
-from farelens.session import cut_lineage, scratch_path
+from farelens.session import cut_lineage, scratch_path, scratch_root
 from farelens.sources import checked_bids, predictions
 from farelens.sources import history as history_source
 from farelens.streaming.recommend import rejected_requests, stream_orders, stream_recommend
@@ -315,3 +316,19 @@ def test_each_request_is_priced_or_refused_once(spark, tmp_path):
     assert reasons[-3] == ["unreadable", "distance_in_meters"]
     assert {r.unreadable for r in refused if r.unreadable} >= set(texts[-3:-1])
     assert run()[0] == priced  # nothing comes twice
+
+
+# -- the shared folder -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("master", "folder", "expected"), [
+    ("spark://host:7077", "hdfs://name/scratch/", "hdfs://name/scratch"), ("spark://host:7077", None, None), ("yarn", "", None),
+])
+def test_a_cluster_needs_a_shared_folder(master, folder, expected):
+    context = SimpleNamespace(master=master, applicationId="app", getConf=lambda: {"spark.checkpoint.dir": folder})
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    if expected is None:
+        with pytest.raises(ValueError):
+            scratch_root(session)
+    else:
+        assert scratch_root(session) == expected
