@@ -1,7 +1,13 @@
 import base64
 import hashlib
+import time
+from html.parser import HTMLParser
+
+import pytest
+from conftest import FOLDER
 
 from farelens.llm import warc
+from farelens.llm.common import table
 
 PAGES = "page_id long, url string, html string, block string"
 MARKUP = (
@@ -46,6 +52,111 @@ def test_text_and_fields():
     assert warc.plain_text("a < b > c <") == "a < b > c <"
 
 
+class Reader(HTMLParser):
+    """The standard library's reading of a page: shown text, title, language, links."""
+
+    def __init__(self, markup):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden, self.titled = [], [], None
+        self.language, self.links = "", []
+        self.feed(markup)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(reversed(attrs))
+        if tag in ("script", "style", "template", "noscript", "head"):
+            self.hidden.append(tag)
+        if tag == "title" and self.titled is None:
+            self.titled = []
+        if tag == "html":
+            self.language = self.language or attrs.get("lang") or ""
+        if tag == "a" and "href" in attrs:
+            self.links.append(attrs["href"] or "")
+        if tag in warc.BLOCKS:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            self.hidden.remove(tag)
+            self.out.append(" ")
+        if tag in warc.BLOCKS:
+            self.out.append("\n")
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    def handle_data(self, data):
+        if self.lasttag == "title" and self.titled == []:
+            self.titled.append(data)
+        if not self.hidden:
+            self.out.append(data)
+
+    def text(self):
+        return "\n".join(line for line in (" ".join(part.split()) for part in "".join(self.out).split("\n")) if line)
+
+
+def test_whole_table_equals_another_parser(spark):
+    df = table(spark, FOLDER, "pages")
+    records = {(r.page_id, r.warc_type): r.block for r in warc.derivatives(warc.responses_of(df)).collect()}
+    pages = df.collect()
+    assert len(records) == 2 * len(pages)
+    for page in pages:
+        seen = Reader(page.html or "")
+        lines = records[page.page_id, "conversion"].split("\n")
+        assert "\n".join(" ".join(line.split()) for line in lines if line.strip()) == seen.text()
+        fields = [f.split(": ", 1) for f in records[page.page_id, "metadata"].split("\r\n") if f]
+        assert dict(fields)["title"] == " ".join("".join(seen.titled or []).split())
+        assert dict(fields)["language"] == seen.language
+        assert [v for k, v in fields if k == "outlink"] == [" ".join(link.split()) for link in seen.links]
+
+
+def test_markup_that_is_hidden_gives_no_fields():
+    page = warc.Page(
+        "<!-- <title>no</title><a href='no'> --><script>var a = '<title>no</title><a href=\"no\">'</script>"
+        "<HTML data-lang=no LANG='pt-BR'><title>T<b>2</title><a data-href=no href='x>y'>l</a><a HREF=z>m</a><a>n</a>"
+    )
+    assert (page.title, page.language, page.links) == ("T<b>2", "pt-BR", ["x>y", "z"])
+    assert page.text() == "T<b>2lmn"
+
+
+def test_broken_markup():
+    shown = {
+        "a <b": "a <b", "<head><title>t</title>x": "tx", "<head>x<body>y": "y", "<head>x</head>y": "y", "a<!-- b": "a",
+        "<p title=\"a>b\">c": "c", "<p title=\"a>b": "b", "<scripty>a</scripty>": "a", "a<script>b</scripts>c</script >d": "a d",
+        "İ<P>x</P>K": "İ\nx\nK", "<style>a<p>": "", "</p>": "", "<>": "<>", "a<?php b?>c": "ac",
+    }
+    assert {markup: warc.plain_text(markup) for markup in shown} == shown
+
+
+@pytest.mark.parametrize(
+    "part", ["<a", "<head>", "<html ", "<!--", "<script>", "</", '<a b=">" ', "<a href='", "<title>", "<a href = ", "<", "<p>"]
+)
+def test_time_grows_with_the_text(part):
+    for markup in (part * (1_000_000 // len(part)), "<a " + part * (1_000_000 // len(part)) + ">"):
+        start = time.process_time()
+        warc.fields_of(warc.Page(markup), "", "")
+        assert time.process_time() - start < 10  # a fraction of a second; by squares it would be hours
+
+
+def test_awkward_responses(spark):
+    rows = [(1, "r1", "http://a/\r\nWARC-Type: x", "d", None, None, "p", "b"), (None, "r2", None, "d", "H: 1\r\n", "<p>x", "p", "b")]
+    records = warc.derivatives(spark.createDataFrame(rows, warc.RESPONSE_SCHEMA)).collect()
+    assert sorted((r.refers_to, r.warc_type, r.target_uri, r.source_headers) for r in records) == [
+        ("r1", "conversion", "http://a/\r\nWARC-Type: x", ""), ("r1", "metadata", "http://a/\r\nWARC-Type: x", ""),
+        ("r2", "conversion", "", "H: 1\r\n"), ("r2", "metadata", "", "H: 1\r\n"),
+    ]
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_line_breaks_in_a_target_are_read_back(spark, tmp_path, compression):
+    rows = [(1, "http://a/\r\nx\n%0D", MARKUP, "x"), (2, "http://b/%0D%0A", "y", "x")]
+    records = warc.derivatives(warc.responses_of(spark.createDataFrame(rows, PAGES)))
+    warc.write_warc(records, str(tmp_path / "w"), compression)
+    key = lambda r: (r.record_id, r.block)
+    back = sorted(warc.read_warc(spark, str(tmp_path / "w")).collect(), key=key)
+    assert back == sorted(records.drop("page_id").collect(), key=key)
+
+
 def test_files_read_back(spark, tmp_path):
     records = warc.derivatives(warc.responses_of(pages(spark)))
     warc.write_warc(records, str(tmp_path / "w"))
