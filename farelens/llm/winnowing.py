@@ -15,16 +15,20 @@ longs, each a hash with its place in the low bits, so ties need no second pass.
 
 ``with_next`` brings each document its successor in id order. Ids are cut into blocks at
 approximate quantiles (at most ``MAX_BLOCKS``, whose upper ends go through the driver); each text is
-shuffled once, to its block, and a block's first document once more to the block before.
+shuffled once, to its block, and a block's first document once more to the block before. An id that
+holds the rows of several blocks (as null may) is cut further, by the hashes of its texts.
 
 Defined cases: a null text counts as empty and has an empty fingerprint; a text of fewer than ``k``
 units has one hash, of all of them; two empty fingerprints are alike (1), an empty and another are
-not (0); rows with the same id follow each other in the order of their texts; a single row follows
-itself; a null id comes last; an empty table gives an empty result; other columns play no part.
+not (0); rows with the same id follow each other in the order of their texts, or of their texts' hashes
+where an id holds several blocks; rows equal in id and text share a block; a single row follows itself; a null id comes last; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farelens.llm.common import WORD, bind, fold, steps
@@ -34,6 +38,7 @@ PLACE_BITS = 26
 MAX_BLOCKS = 16384
 BLOCK_ROWS, LEAST_BLOCK_ROWS = 1000, 50
 _FINE = 128
+WHOLE = (1 << 63) - 1  # the place of rows whose id is not cut by hashes
 LONGEST, PIECE, LOCAL = 16, 13, 4
 LONG_RUN = r"[^\x20\x09-\x0D]{17}"
 
@@ -129,8 +134,12 @@ def with_fingerprint(docs: DataFrame, text: str = "text", k: int = K, window: in
     return docs.withColumn("fingerprint", fingerprint(F.coalesce(F.col(text), F.lit("")), k, window))
 
 
-def block_heads(docs: DataFrame, key: Column) -> list[int]:
-    """Highest key of each block that holds rows, descending."""
+def block_heads(docs: DataFrame, key: Column, text: Column) -> list[tuple[int, int]]:
+    """Highest (key, hash) of each block that holds rows, descending.
+
+    A key that ends more than one block holds the rows of several. It is cut further by the hashes of its
+    texts, at even steps; all other keys have ``WHOLE`` for a hash, above which there is none.
+    """
     spark = docs.sparkSession
     rows = docs.count()
     if not rows:
@@ -141,32 +150,59 @@ def block_heads(docs: DataFrame, key: Column) -> list[int]:
     shares = [i / blocks for i in range(1, blocks + 1)]
     ends = docs.select(F.percentile_approx(key, shares, 4 * blocks)).first()[0]
     top = docs.agg(F.max(key)).first()[0]
-    return sorted({*ends, top}, reverse=True)
+    hot = {k: n for k, n in Counter(ends).items() if n > 1}
+    heads = {(k, WHOLE) for k in {*ends, top} - hot.keys()}
+    if hot:
+        upper = F.shiftright(F.xxhash64(text), 16) + (1 << 47)  # 48 bits, from 0
+        step = F.shiftright(upper * F.element_at(_table(hot), key), 48)
+        cut = docs.filter(key.isin(*hot)).select(key.alias("k"), step.alias("step"), F.xxhash64(text).alias("h"))
+        heads |= {(r.k, r.h) for r in cut.groupBy("k", "step").agg(F.max("h").alias("h")).collect()}
+    return sorted(heads, reverse=True)
+
+
+def _longs(values: Iterable[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def with_next(docs: DataFrame, carried: list[str], key: str = "doc_id") -> DataFrame:
+def _table(counts: dict[int, int]) -> Column:
+    return F.map_from_arrays(_longs(counts), _longs(counts.values()))
+
+
+def with_next(docs: DataFrame, carried: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows with block, guest and place to be read by ``successor``: guests only follow others."""
     order = F.coalesce(F.col(key), F.lit(-(1 << 63)).cast("long"))
-    heads = block_heads(docs, order)
+    heads = block_heads(docs, order, F.col(text))
+    keyed = docs.select(key, *carried, order.alias("__key"))
     if not heads:
-        return docs.select(key, *carried, F.lit(0).alias("__block"), F.lit(False).alias("__guest"), order.alias("__key"))
-    array = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-    above = lambda values, least: F.size(F.filter(values, lambda h: h >= least))
-    coarse = above(array(heads[::_FINE]), order) - 1
-    fine = bind(coarse, lambda c: c * _FINE + above(F.slice(array(heads), c * _FINE + 1, F.lit(_FINE)), order) - 1)
-    is_head = F.get(array(heads), F.col("__block")) == F.col("__key")
+        return keyed.withColumns({"__hash": F.lit(WHOLE), "__block": F.lit(0), "__guest": F.lit(False)})
+    hot = sorted({k for k, h in heads if h != WHOLE})
+    hashed = F.when(F.col("__key").isin(*hot), F.xxhash64(text)).otherwise(F.lit(WHOLE)) if hot else F.lit(WHOLE)
+
+    def above(some: list[tuple[int, int]], first: Column | None = None) -> Column:
+        """How many of ``some`` heads (or of ``_FINE`` from ``first`` on) are not below the row."""
+        listed = F.arrays_zip(_longs(k for k, _ in some).alias("k"), _longs(h for _, h in some).alias("h"))
+        part = listed if first is None else F.slice(listed, first, F.lit(_FINE))
+        reaches = lambda x: (x["k"] > F.col("__key")) | (x["k"] == F.col("__key")) & (x["h"] >= F.col("__hash"))
+        return F.size(F.filter(part, reaches))
+
+    fine = bind(above(heads[::_FINE]) - 1, lambda c: c * _FINE + above(heads, c * _FINE + 1) - 1)
+    is_head = (F.get(_longs(k for k, _ in heads), F.col("__block")) == F.col("__key")) & (
+        F.get(_longs(h for _, h in heads), F.col("__block")) == F.col("__hash")
+    )
     before = F.when(F.col("__block") == 0, len(heads) - 1).otherwise(F.col("__block") - 1)
     own = F.array(F.struct(F.col("__block").alias("b"), F.lit(False).alias("g")))
     guest = F.struct(before.alias("b"), F.lit(True).alias("g"))
-    placed = docs.select(key, *carried, order.alias("__key")).withColumn("__block", fine)
+    placed = keyed.withColumn("__hash", hashed).withColumn("__block", fine)
     dealt = placed.withColumn("__to", F.explode(F.when(is_head, F.concat(own, F.array(guest))).otherwise(own)))
-    return dealt.select(key, *carried, "__key", F.col("__to.b").alias("__block"), F.col("__to.g").alias("__guest"))
+    return dealt.select(
+        key, *carried, "__key", "__hash", F.col("__to.b").alias("__block"), F.col("__to.g").alias("__guest")
+    )
 
 
 def successor(value: Column, tie: str) -> Column:
     """``value`` of the next row in descending key order, over rows of ``with_next``."""
     return F.lead(value).over(
-        Window.partitionBy("__block").orderBy("__guest", F.col("__key").desc(), F.col(tie))
+        Window.partitionBy("__block").orderBy("__guest", F.col("__key").desc(), F.col("__hash").desc(), F.col(tie))
     )
 
 
@@ -184,7 +220,7 @@ def fingerprint_report(docs: DataFrame, k: int = K, window: int = WINDOW) -> Dat
         "__edited", edited(F.col("text"), F.col("__next"))
     )
     printed = changed.select(
-        "doc_id", "__block", "__guest", "__key", "text",
+        "doc_id", "__block", "__guest", "__key", "__hash", "text",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("text"), k, window).alias("__own"),

@@ -91,6 +91,30 @@ def test_many_blocks_follow_each_other(spark):
         assert out[doc] == hashlib.sha256((text[: len(text) - third] + following[:third]).encode()).hexdigest()
 
 
+def test_a_hot_id_is_cut_by_its_texts(spark, monkeypatch):
+    """Most rows have no id: every row still has one follower, and no block holds more than its part."""
+    monkeypatch.setattr(winnowing, "LEAST_BLOCK_ROWS", 20)
+    texts = [f"{i} text {i * i} of some {i % 7} words" for i in range(600)]
+    rows = [(None if i % 3 else i, t, None, None, 0) for i, t in enumerate(texts)]
+    rows += [(None, "the same text for many rows", None, None, 0)] * 30
+    df = frame(spark, rows).select("doc_id", "text")
+    chained = winnowing.with_next(df, ["text"])
+    placed = chained.withColumn("next", winnowing.successor(chained["text"], "text")).filter("NOT __guest").collect()
+    sizes = {}
+    for r in placed:
+        sizes[r["__block"]] = sizes.get(r["__block"], 0) + 1
+    assert len(placed) == len(rows) and len(sizes) > 20 and max(sizes.values()) < 80
+    follower = {}
+    for r in placed:
+        follower.setdefault((r.doc_id, r.text), []).append(r.next)
+    named = sorted((r[0], r[1]) for r in rows if r[0] is not None)
+    for (_, lower), pair in zip(named, named[1:], strict=False):
+        assert follower[pair] == [lower]
+    assert sorted(n for f in follower.values() for n in f) == sorted(r[1] for r in rows)  # one ring
+    unnamed = [f for (d, _), f in follower.items() if d is None]
+    assert sum(n == named[-1][1] for f in unnamed for n in f) == 1  # the last without an id, by the first of all
+
+
 def test_one_row_and_none(spark):
     [r] = winnowing.fingerprint_report(frame(spark, [(1, "a b c", None, None, 5)])).collect()
     assert r.near_next == 1.0
