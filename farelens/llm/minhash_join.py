@@ -11,7 +11,8 @@ Lists of up to ``SHORT_LIST`` classes give their pairs at once. Longer lists com
 many similar texts: those that overlap are merged into clusters, whose members are compared in blocks
 (each task sees two blocks of bounded size), and a task reports only the links that join what it has
 not joined yet. Every pair with enough matches is decided on the full sets:
-100 * intersection >= ``Limits.percent`` * union. ``AT_85`` and ``AT_80`` have sieves fitted to their
+100 * intersection >= ``Limits.percent`` * union. Keys that hold many rows, be they coordinates, groups or
+copies, are joined by broadcasts of bounded size. ``AT_85`` and ``AT_80`` have sieves fitted to their
 similarity: the expected loss, at exactly that similarity, is one pair in some ten thousand.
 
 Defined cases: texts without words have an empty set, belong to no class and link with nothing;
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farelens.llm.common import WORD, store
 from farelens.llm.components import components
+from farelens.operators.joins import left_lookup
 
 WORDS = 5
 PERCENT = 85
@@ -161,8 +163,8 @@ def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
     posted = classes.select("class", F.posexplode("minima").alias("place", "least")).select(
         "class", (F.col("place").cast("long") * (1 << 32) + F.col("least")).alias("key")
     )
-    shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    colliding = posted.join(shared, "key")
+    shared = store(posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    colliding = left_lookup(posted, shared, "key", F.col("n")).filter("n IS NOT NULL")
     by_class = Window.partitionBy("class")
     alone = F.lit(COORDINATES) - F.count("*").over(by_class)  # values that no other class has come first
     place = F.row_number().over(by_class.orderBy("n", "key"))
@@ -170,8 +172,8 @@ def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
     prefix = store(
         ranked.filter(F.col("place") + F.col("alone") <= COORDINATES - matches + 1).select("class", "key"), "prefixes"
     )
-    lists = prefix.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return store(prefix.join(lists, "key"), "postings")
+    lists = store(prefix.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
+    return store(left_lookup(prefix, lists, "key", F.col("n")).filter("n IS NOT NULL"), "postings")
 
 
 def short_list_pairs(postings: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
@@ -194,18 +196,17 @@ def short_list_pairs(postings: DataFrame, classes: DataFrame, matches: int) -> D
 def clusters(postings: DataFrame) -> DataFrame:
     """(class, cluster) of classes whose long lists overlap."""
     long_lists = postings.filter(F.col("n") > SHORT_LIST)
-    hubs = long_lists.groupBy("key").agg(F.min("class").alias("b"))
-    edges = long_lists.join(hubs, "key").select(F.col("class").alias("a"), "b")
+    hubs = long_lists.groupBy("key").agg(F.min("class").alias("b"), F.count("*").alias("times"))
+    edges = left_lookup(long_lists, hubs, "key", F.col("times")).select(F.col("class").alias("a"), "b")
     return components(edges).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
 
 
 def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, shingles) for ``classes`` (class, doc_id, digest), from their documents' texts."""
-    wanted = classes.select(F.col("doc_id").alias("__id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text").mapInPandas(
-        _sets, "digest binary, shingles binary"
-    )
+    """(class, shingles) for ``classes`` (class, own, digest), from the texts of their first documents."""
+    wanted = classes.select(F.col("own.doc_id").alias("__id"), F.col("own.text_hash").alias("__hash")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    found = texts.join(wanted, same, "left_semi").select("text").mapInPandas(_sets, "digest binary, shingles binary")
     unique = found.join(classes.select("class", "digest"), "digest").dropDuplicates(["class"])
     return store(unique.select("class", "shingles"), "sets")
 
@@ -216,11 +217,13 @@ def cluster_links(members: DataFrame, sets: DataFrame, limits: Limits) -> DataFr
     sizes = filled.groupBy("cluster").agg(
         F.ceil(
             F.greatest(F.count("*") / BLOCK_CLASSES, F.sum(F.length("shingles")) / BLOCK_BYTES)
-        ).cast("int").alias("blocks")
+        ).cast("int").alias("blocks"),
+        F.count("*").alias("classes"),
     )
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     dealt = (
-        filled.join(sizes, "cluster")
+        left_lookup(filled, sizes, "cluster", F.col("classes"))
+        .drop("classes")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
@@ -243,8 +246,11 @@ def near_duplicates(docs: DataFrame, limits: Limits = AT_85) -> DataFrame:
             first.alias("first"),
             F.min(F.struct(no_id, "doc_id", "text_hash")).alias("own"),
             F.first("minima").alias("minima"),
+            F.count("*").alias("copies"),
         )
-        .select(F.col("first.row_id").alias("class"), F.col("first.doc_id").alias("doc_id"), "own", "digest", "minima"),
+        .select(
+            F.col("first.row_id").alias("class"), F.col("first.doc_id").alias("doc_id"), "own", "digest", "minima", "copies"
+        ),
         "classes",
     )
     postings = prefix_postings(classes, limits.matches)
@@ -252,7 +258,7 @@ def near_duplicates(docs: DataFrame, limits: Limits = AT_85) -> DataFrame:
     members = store(clusters(postings), "clusters")
     used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
     used = used.unionByName(members.select("class")).distinct()
-    sets = full_sets(docs, classes.join(used, "class").select("class", "doc_id", "digest"))
+    sets = full_sets(docs, classes.join(used, "class").select("class", "own", "digest"))
     side = lambda name: sets.select(F.col("class").alias(name), F.col("shingles").alias(f"{name}_set"))
     reached = F.pandas_udf(_linked(limits.percent), "boolean")("a_set", "b_set")
     confirmed = pairs.join(side("a"), "a").join(side("b"), "b").filter(reached)
@@ -261,14 +267,14 @@ def near_duplicates(docs: DataFrame, limits: Limits = AT_85) -> DataFrame:
     named = (
         grouped.join(classes.select(F.col("class").alias("node"), "doc_id", "own"), "node")
         .groupBy("component")
-        .agg(F.min("doc_id").alias("least"), F.min("own").alias("group_first"))
+        .agg(F.min("doc_id").alias("least"), F.min("own").alias("group_first"), F.count("*").alias("nodes"))
     )
-    by_class = grouped.join(named, "component").select(F.col("node").alias("class"), "least", "group_first")
+    by_class = left_lookup(grouped, named, "component", F.col("nodes")).select(F.col("node").alias("class"), "least", "group_first")
     by_digest = classes.join(by_class, "class", "left").select(
         "digest", F.coalesce("least", "doc_id").alias("component_id"), F.col("class").alias("__class"),
-        F.coalesce("group_first.text_hash", "own.text_hash").alias("first_hash"),
+        F.coalesce("group_first.text_hash", "own.text_hash").alias("first_hash"), "copies",
     )
-    known = rows.drop("minima").join(by_digest, "digest", "left")
+    known = left_lookup(rows.drop("minima"), store(by_digest, "by-digest"), "digest", F.col("copies"))
     return known.select(
         "row_id", "doc_id", "text_hash", "n_shingles",
         F.when(F.col("__class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
