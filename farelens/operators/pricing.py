@@ -1,9 +1,10 @@
 """Price sweep: candidate prices, their scores, the best price and its zones.
 
-Candidate prices are exploded and folded back per order inside one stage: orders
-are placed by id once, before they multiply, and every grouping that follows
-finds them placed. All buffers are numbers, so each step is a generated hash
-aggregate.
+Orders are placed by id once, before they multiply. A sweep by a scorer of grids
+keeps an order's candidate prices in one array that is folded where it was scored.
+Curves, and sweeps by any other scorer, explode candidate prices into rows and fold
+them back per order inside the same stage; all buffers are numbers, so each step is
+a generated hash aggregate.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from farelens.functions import fare
 from farelens.functions.missing import num, ratio
-from farelens.operators.grid_scoring import GridScorer, with_curves
+from farelens.operators.grid_scoring import GridRules, GridScorer, with_curves, with_sweep
 from farelens.operators.scoring import Scorer
 
 COARSE_POINTS = 150
@@ -114,12 +115,22 @@ def with_maxima(limited: DataFrame, scorer: Scorer, fine: int = FINE_POINTS) ->
     )
 
 
-def curve_points(orders: DataFrame, scorer: GridScorer, coarse: int, fine: int) -> DataFrame:
-    """The points of ``scored_points`` with both maxima; each candidate is scored once."""
+def grid_rules(coarse: int, fine: int) -> GridRules:
+    zones = tuple((zone, low, high) for zone, _, low, high in ZONES)
+    return GridRules(coarse, fine, SCAN_PROBABILITY, (EV_WEIGHT, PROBABILITY_WEIGHT), zones)
+
+
+def _ranged(orders: DataFrame, scorer: Scorer | GridScorer) -> tuple[DataFrame, list[str]]:
+    """Placed orders with their search range, and the columns that only the scorer needs."""
     needed = ["order_id", "price_start_local", "distance_in_meters", "duration_in_seconds"]
     prepared = scorer.prepare(orders)
     passing = [c for c in scorer.inputs if c not in needed and c in prepared.columns]
-    ranged = with_search_range(spread_orders(prepared.select(*needed, *passing)))
+    return with_search_range(spread_orders(prepared.select(*needed, *passing))), passing
+
+
+def curve_points(orders: DataFrame, scorer: GridScorer, coarse: int, fine: int) -> DataFrame:
+    """The points of ``scored_points`` with both maxima; each candidate is scored once."""
+    ranged, passing = _ranged(orders, scorer)
     curved = with_curves(ranged, scorer, coarse, fine, SCAN_PROBABILITY).drop(*passing)
     rest = [c for c in curved.columns if c != "probabilities"]
     points = curved.select(*rest, F.posexplode("probabilities").alias("point", "probability"))
@@ -187,6 +198,15 @@ def sweep(
     orders: DataFrame, scorer: Scorer | GridScorer, coarse: int = COARSE_POINTS, fine: int = FINE_POINTS
 ) -> DataFrame:
     """One row per order: the optimum, the most probable price and sums per zone."""
+    if isinstance(scorer, GridScorer) or scorer.grid is not None:
+        ranged, passing = _ranged(orders, scorer)
+        swept = with_sweep(ranged, scorer, grid_rules(coarse, fine))
+        return swept.drop(*passing) if isinstance(scorer, GridScorer) else swept
+    return _sweep_rows(orders, scorer, coarse, fine)
+
+
+def _sweep_rows(orders: DataFrame, scorer: Scorer | GridScorer, coarse: int, fine: int) -> DataFrame:
+    """The sweep by a row for each candidate price."""
     curve = price_curve(orders, scorer, coarse, fine)
     # All order-level columns, so that the existing partitioning satisfies the grouping.
     keys = [c for c in curve.columns if c not in POINT_COLUMNS]

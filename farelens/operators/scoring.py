@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,12 +23,24 @@ class Scorer:
     """``prepare`` works once per order, ``score`` on every (order, price) row.
 
     ``score`` receives the ``inputs``, ``price`` and ``reference_price``, and adds
-    ``probability`` while keeping all other columns.
+    ``probability`` while keeping all other columns. ``grid``, where given, runs in the
+    worker and returns the same score as a function of a block of orders and an array
+    of prices, a row for each order; a sweep then needs no row for each price.
     """
 
     inputs: tuple[str, ...]
     score: Callable[[DataFrame], DataFrame]
     prepare: Callable[[DataFrame], DataFrame] = field(default=lambda orders: orders)
+    grid: Callable[[], Callable[[pd.DataFrame, np.ndarray], np.ndarray]] | None = None
+
+
+def _logistic_grid() -> Callable[[pd.DataFrame, np.ndarray], np.ndarray]:
+    def score(orders: pd.DataFrame, prices: np.ndarray) -> np.ndarray:
+        base, reference = (orders[c].to_numpy(np.float64)[:, None] for c in ("score_base", "reference_price"))
+        percent = (prices - reference) / reference * 100
+        return 1.0 / (1.0 + np.exp(-(base - percent * 0.02)))
+
+    return score
 
 
 def score_logistic() -> Scorer:
@@ -49,7 +63,7 @@ def score_logistic() -> Scorer:
         z = F.col("score_base") - percent * 0.02
         return points.withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
 
-    return Scorer(("score_base",), score, prepare)
+    return Scorer(("score_base",), score, prepare, _logistic_grid)
 
 
 def score_model(model: PipelineModel) -> Scorer:

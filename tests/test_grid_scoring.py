@@ -7,7 +7,7 @@ import pytest
 from conftest import FOLDER
 from pyspark.sql import functions as F
 
-from farelens.operators import grid_scoring, modelling, tree_sweep
+from farelens.operators import grid_scoring, modelling, pricing, tree_sweep
 from farelens.operators.features import BASE_FEATURES, serving_features
 from farelens.operators.pricing import price_curve, recommendation, sweep, with_search_range
 from farelens.operators.scoring import score_logistic, score_model
@@ -204,3 +204,32 @@ def test_breakpoints_give_what_the_fitted_model_gives(spark):
         sorted(map(tuple, flat_recommendation(recommendation(sweep(few, s, 30, 60))).collect()), key=repr) for s in (by_runs, by_rows)
     )
     assert found == expected
+
+
+def test_folded_grids_equal_rows_of_candidates(spark):
+    """Orders with and without a start price, a distance or a base score, some of them priced at zero."""
+    n = F.col("id")
+    orders = spark.range(900).select(
+        n.alias("order_id"),
+        F.when(n % 11 != 0, F.when(n % 13 == 0, 0.0).otherwise(80.0 + n % 97 * 9)).alias("price_start_local"),
+        F.when(n % 17 != 0, n * 7919 % 24000).alias("distance_in_meters"),
+        (n * 104729 % 3600).alias("duration_in_seconds"),
+        F.when(n % 19 != 0, 1.6e9 + n * 5000).cast("bigint").alias("order_timestamp"),
+        F.when(n % 23 == 0, -80.0).when(n % 7 == 0, 90.0).otherwise(n % 10 / 10).alias("driver_acceptance_rate"),
+    )
+    placed, scorer = cut_lineage(orders), score_logistic()
+    by_rows, by_grids = pricing._sweep_rows(placed, scorer, 30, 60), sweep(placed, scorer, 30, 60)
+    assert set(by_grids.columns) == set(by_rows.columns) and dict(by_grids.dtypes) == dict(by_rows.dtypes)
+    names = by_rows.columns
+    found, expected = (sorted(map(tuple, x.select(names).collect())) for x in (by_grids, by_rows))
+    assert len(found) == len(expected) == 900
+    for a, b in zip(found, expected, strict=True):
+        assert [x is None for x in a] == [x is None for x in b], (a, b)
+        assert [x for x in a if x is not None] == pytest.approx([x for x in b if x is not None], rel=1e-9, abs=1e-9)
+
+
+def test_a_sweep_of_grids_makes_no_row_for_a_candidate(spark):
+    few = cut_lineage(Data(spark, FOLDER).prepared)
+    for scorer in (score_logistic(), grid_scoring.score_external("farelens.operators.grid_scoring:logistic")):
+        plan = pricing.recommend_batch(few, scorer)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode" not in plan and "Generate posexplode" not in plan
