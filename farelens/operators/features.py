@@ -255,7 +255,11 @@ def history_features(
 ) -> DataFrame:
     """Both history joins and the three groups built on them."""
     joined = join_history(bids, users, USER, small)
-    joined = join_history(joined, drivers, DRIVER, small)
+    return with_match(join_history(joined, drivers, DRIVER, small))
+
+
+def with_match(joined: DataFrame) -> DataFrame:
+    """The columns built on both histories, for bids that have them."""
     return joined.withColumns(_match(F.col("user_avg_bid"), F.col("driver_avg_bid")))
 
 
@@ -272,8 +276,12 @@ def batch_features(
     small: bool | None = None,
 ) -> DataFrame:
     """The 130 columns before imputation and clipping."""
-    wide = row_features(with_quality(history_features(bids, users, drivers, small)))
-    return as_features(wide, ALL_FEATURES, keep)
+    return matched_features(history_features(bids, users, drivers, small), keep)
+
+
+def matched_features(matched: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 130 columns of bids that went through ``with_match``."""
+    return as_features(row_features(with_quality(matched)), ALL_FEATURES, keep)
 
 
 def serving_features(priced: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

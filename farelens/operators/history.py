@@ -150,7 +150,18 @@ def join_history(
     bids: DataFrame, history: DataFrame, side: Side, small: bool | None = None
 ) -> DataFrame:
     """Bids with the side's nine columns, filled where there is no history."""
-    joined = left_lookup(bids, history, side.key, weight=F.col(side.count), small=small)
+    return fill_history(match_history(bids, history, side, small), side)
+
+
+def match_history(
+    rows: DataFrame, history: DataFrame, side: Side, small: bool | None = None
+) -> DataFrame:
+    """Rows with the side's columns as they are in the history, null where it has none."""
+    return left_lookup(rows, history, side.key, weight=F.col(side.count), small=small)
+
+
+def fill_history(joined: DataFrame, side: Side) -> DataFrame:
+    """Doubles in place of matched columns, filled where there is no history."""
     filled = {
         name: F.coalesce(
             F.col(name).cast("double"), F.col(v) if isinstance(v, str) else F.lit(v)

@@ -13,6 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from farelens.functions.missing import clip, finite_or_null
+from farelens.session import stored
 
 # Up to this many values of one column may meet in one exact-percentile buffer.
 EXACT_ROWS = 1_000_000
@@ -223,8 +224,8 @@ def clip_sigma(df: DataFrame, stats: dict[str, ColumnStats]) -> DataFrame:
 
 
 def prob_quantiles(df: DataFrame, column: str = "probability") -> DataFrame:
-    """One row: min, quartiles, max and mean of the scores."""
-    value = F.col(column)
+    """One row: min, quartiles, max and mean of the scores, which are stored for the passes over them."""
+    df, value = stored(df.select(column), "scores"), F.col(column)
     seen = df.agg(
         F.count(value).alias("n"),
         F.min(value).alias("min"),

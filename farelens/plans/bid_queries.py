@@ -326,23 +326,23 @@ def _history_summary(d: Data) -> DataFrame:
 
 @query("join_user_history", f"SELECT {K}, {o.r(*USER.fills)} FROM joined")
 def _join_user_history(d: Data) -> DataFrame:
-    return rounded(history.join_history(d.bids, d.users, USER).select(*KEY, *USER.fills))
+    return rounded(history.join_history(d.kept_bids, d.users, USER).select(*KEY, *USER.fills))
 
 
 @query("join_driver_history", f"SELECT {K}, {o.r(*DRIVER.fills)} FROM joined")
 def _join_driver_history(d: Data) -> DataFrame:
-    return rounded(history.join_history(d.bids, d.drivers, DRIVER).select(*KEY, *DRIVER.fills))
+    return rounded(history.join_history(d.kept_bids, d.drivers, DRIVER).select(*KEY, *DRIVER.fills))
 
 
 @query("lookup_user_history", f"SELECT order_id, {o.r(*o.USER_SERVED)} FROM looked_up")
 def _lookup_user_history(d: Data) -> DataFrame:
-    found = history.lookup_history(d.orders, d.users, USER)
+    found = history.lookup_history(d.kept_orders, d.users, USER)
     return rounded(found.select("order_id", *USER.served))
 
 
 @query("lookup_driver_history", f"SELECT order_id, {o.r(*o.DRIVER_SERVED)} FROM looked_up")
 def _lookup_driver_history(d: Data) -> DataFrame:
-    found = history.lookup_history(d.orders, d.drivers, DRIVER)
+    found = history.lookup_history(d.kept_orders, d.drivers, DRIVER)
     return rounded(found.select("order_id", *DRIVER.served))
 
 

@@ -16,19 +16,18 @@ _KK = ("k_order_id", "k_copy_no", "k_line_no", "k_driver_id", "k_part_id", "k_ex
 _KEY_AS_K = ", ".join(f"{k.removeprefix('k_')} AS {k}" for k in _KK)
 
 
-def _keyed(d: Data) -> DataFrame:
+def _keyed(bids: DataFrame) -> DataFrame:
     """Bids whose key columns survive next to equally named features."""
-    return d.bids.withColumns({k: F.col(k.removeprefix("k_")) for k in _KK})
+    return bids.withColumns({k: F.col(k.removeprefix("k_")) for k in _KK})
 
 
 def _group(name: str, columns: tuple[str, ...]) -> None:
     @query(f"features_{name}", f"SELECT {_KEY_AS_K}, {o.r(*columns)} FROM feat")
     def _run(d: Data) -> DataFrame:
-        bids = _keyed(d)
         if name in ("user", "driver_hist", "match"):
-            wide = features.history_features(bids, d.users, d.drivers)
+            wide = features.with_match(_keyed(d.joined))
         else:
-            wide = features.row_features(bids)
+            wide = features.row_features(_keyed(d.bids))
         return rounded(features.as_features(wide, columns, keep=_KK))
 
 
@@ -61,7 +60,7 @@ _LACKING = (
     + f" FROM feat , (SELECT {', '.join(f'median({c}) AS med_{c}' for c in _LACKING)} FROM feat ) middles",
 )
 def _impute_median(d: Data) -> DataFrame:
-    wide = features.as_features(features.row_features(_keyed(d)), _LACKING, keep=_KK)
+    wide = features.as_features(features.row_features(_keyed(d.kept_bids)), _LACKING, keep=_KK)
     stats = statistics.fit_statistics(wide, list(_LACKING), impute_only=True)
     return rounded(statistics.impute(wide, stats))
 
@@ -119,7 +118,7 @@ def _clip_sql() -> str:
 
 @query("clip_sigma", _clip_sql())
 def _clip_sigma(d: Data) -> DataFrame:
-    wide = features.as_features(features.row_features(_keyed(d)), _CLIPPED, keep=_KK)
+    wide = features.as_features(features.row_features(_keyed(d.kept_bids)), _CLIPPED, keep=_KK)
     return rounded(feature_table(wide, _CLIPPED).select(*_KK, *_CLIPPED), 4)
 
 

@@ -249,7 +249,7 @@ def _validate_recommendation(d: Data) -> DataFrame:
 def _stream_recommend(d: Data) -> DataFrame:
     """All orders as JSON files through the stream; default rating where absent."""
     incoming = scratch_path(d.spark, "incoming")
-    rated = d.orders.withColumn("driver_rating", F.coalesce("driver_rating", F.lit(5.0)))
+    rated = d.kept_orders.withColumn("driver_rating", F.coalesce("driver_rating", F.lit(5.0)))
     rated.write.json(incoming)
     out, progress = scratch_path(d.spark, "priced"), scratch_path(d.spark, "progress")
     stream = stream_recommend(
@@ -280,7 +280,7 @@ _STREAM_RULES = """CASE WHEN order_id % 17 = 3 THEN 'unreadable' END, CASE WHEN
 def _stream_rejects(d: Data) -> DataFrame:
     """A stream with negative times, absent ratings, unknown platforms and torn lines: what was priced and what was not."""
     incoming = scratch_path(d.spark, "incoming")
-    altered = d.orders.withColumns(
+    altered = d.kept_orders.withColumns(
         {
             "pickup_in_seconds": F.col("pickup_in_seconds") - 5,
             "platform": F.when(F.col("order_id") % 13 == 0, "desktop").otherwise(F.col("platform")),

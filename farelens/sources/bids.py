@@ -68,9 +68,8 @@ def spread_if_few(df: DataFrame, *keys: str) -> DataFrame:
 VIEW_ROW_ORDER = ["copy_no", "line_no", "driver_id", "part_id", "ext"]
 
 
-def bids_view(spark: SparkSession, folder: str) -> DataFrame:
-    """Bids derived from ``lineitem`` and ``orders``: one bid per line item, and a
-    second copy of each bid for every fiftieth order."""
+def bid_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items with their orders: the few columns of which bids are made."""
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr(
         "l_orderkey AS order_id", "l_suppkey AS driver_id", "l_linenumber AS line_no",
         "l_partkey AS part_id", "l_discount AS disc", "l_extendedprice AS ext",
@@ -82,10 +81,24 @@ def bids_view(spark: SparkSession, folder: str) -> DataFrame:
         "CAST(o_orderdate AS TIMESTAMP) AS order_date",
     )
     lines = spread_if_few(lines, "order_id", "line_no", "part_id")
-    base = lines.join(orders, "order_id").selectExpr(
+    return lines.join(orders, "order_id").selectExpr(
         "order_id", "driver_id",
         "CASE WHEN customer % 97 = 0 THEN NULL ELSE customer END AS user_id",
-        "line_no", "part_id", "disc", "ext",
+        "line_no", "part_id", "disc", "ext", "returned", "order_date",
+    )
+
+
+def bids_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Bids derived from ``lineitem`` and ``orders``: one bid per line item, and a
+    second copy of each bid for every fiftieth order."""
+    return bids_of(bid_lines(spark, folder))
+
+
+def bids_of(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The bids of ``bid_lines``; each bid carries the ``keep`` columns of its line."""
+    base = lines.selectExpr(
+        *keep,
+        "order_id", "driver_id", "user_id", "line_no", "part_id", "disc", "ext",
         "timestampadd(SECOND, CAST((order_id * 7919) % 86400 AS INT), order_date)"
         " AS order_timestamp",
         "CASE WHEN order_id % 101 = 0 THEN 0 ELSE (300 + (order_id * 7919) % 24000)"

@@ -165,3 +165,39 @@ def test_scan_reads_only_needed_columns(spark):
 def test_history_is_a_partial_aggregate(spark):
     plan = plan_of(history.build_history(bids_view(spark, FOLDER), history.DRIVER))
     assert "partial_count" in plan and "partial_avg" in plan
+
+
+def same_rows(a, b):
+    b = b.select(a.columns)
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_bids_that_are_read_again_join_nothing(spark):
+    d = Data(spark, FOLDER)
+    assert same_rows(d.kept_bids, d.bids)
+    plan = plan_of(d.kept_bids)
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_lines_are_looked_up_before_they_widen(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_SHARE", 20)
+    d = Data(spark, FOLDER)
+    plain = history.join_history(history.join_history(d.bids, d.users, history.USER, True), d.drivers, history.DRIVER, True)
+    assert same_rows(d.joined, plain)
+    plan = d.joined._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert "taxi" not in below and "carname" not in below and "platform" not in below
+
+
+def test_quantiles_read_stored_scores(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        calls.add(1)
+        return float(x)
+
+    df = spark.range(2000).select(counted("id").alias("probability"))
+    assert statistics.prob_quantiles(df).first()["median"] == 999.5
+    assert calls.value == 2000
