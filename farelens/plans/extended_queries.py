@@ -69,12 +69,17 @@ def _scan_rejects(d: Data) -> DataFrame:
     return told.agg(F.count("*").alias("n_rows"), F.sum("order_id").alias("ids"))
 
 
+# Lines of one file at most, about; each file is put in order by one task.
+ROWS_OF_FILE = 500_000
+
+
 @query("file_order", f"SELECT {', '.join(KEY)}, is_done FROM marked WHERE NOT exact_duplicate")
 def _file_order(d: Data) -> DataFrame:
     """First of each group of copies by the order of lines in files, which are as good as one big file each."""
     path = scratch_path(d.spark, "ordered")
     own = [c for c in KEY if c not in BID_FIELDS]
-    rows = d.bids.select(*own, *BID_FIELDS).repartitionByRange(4, "order_id").sortWithinPartitions("order_id", *d.row_order)
+    files = max(4, d.lines.count() // ROWS_OF_FILE)
+    rows = d.kept_bids.select(*own, *BID_FIELDS).repartitionByRange(files, "order_id").sortWithinPartitions("order_id", *d.row_order)
     rows.write.option("header", True).option("timestampFormat", _TIME_FORMAT).csv(path)
     checked = checked_bids.readable_bids(checked_bids.scan_bids_checked(d.spark, path))
     first = cleaning.dedupe_first(checked, checked_bids.FILE_ORDER)
@@ -116,8 +121,8 @@ def _band_join(d: Data) -> DataFrame:
     """Bids per price band, the bands overlapping and some without an end."""
     supplier = d.spark.read.parquet(f"{d.folder}/supplier.parquet")
     held = d.spark.sql(_BANDS.format(supplier="{supplier}"), supplier=supplier)
-    joined = bands.join_bands(d.bids.select("price_bid_local"), held, price="price_bid_local")
-    return joined.groupBy("band").agg(F.count("*").alias("n_bids"), F.round(F.sum("price_bid_local"), 2).alias("total"))
+    joined = bands.join_bands(d.bids.select("price_bid_local"), held, price="price_bid_local", sums=("price_bid_local",))
+    return joined.groupBy("band").agg(F.sum("n_points").alias("n_bids"), F.round(F.sum("sum_price_bid_local"), 2).alias("total"))
 
 
 # -- history published as one -------------------------------------------------
@@ -191,7 +196,7 @@ def _stored_sql() -> str:
 @query("stored_statistics", _stored_sql())
 def _stored_statistics(d: Data) -> DataFrame:
     """Medians and bounds of the bids' features, stored, read again and applied to requests with gaps."""
-    raw = features.as_features(features.row_features(d.bids), _FITTED)
+    raw = features.as_features(features.row_features(d.kept_bids), _FITTED)
     bounds = fitted_columns.ColumnBounds(inputCols=list(_FITTED), width=_WIDTH).fit(raw)
     path = scratch_path(d.spark, "bounds")
     bounds.write().overwrite().save(path)

@@ -13,6 +13,7 @@ from farelens.operators import bands, cleaning, fitted_columns, modelling, sketc
 from farelens.operators.features import BASE_FEATURES, serving_features
 from farelens.operators.pricing import with_search_range
 from farelens.operators.scoring import score_logistic
+from farelens.plans import extended_queries
 from farelens.plans.data import Data
 from farelens.schema import BID_FIELDS
 from farelens.session import cut_lineage, scratch_path, scratch_root
@@ -177,6 +178,52 @@ def test_no_bands_and_no_edges(spark):
     assert bands.join_bands(points, spark.createDataFrame([(1, None, None)], schema)).count() == 1
 
 
+@pytest.mark.parametrize("cells", [65_536, 9, 2])
+def test_sums_of_supplied_bands(spark, cells):
+    rng = random.Random(cells)
+    prices = [rng.choice((float(rng.randrange(100)), rng.uniform(-20, 120))) for _ in range(400)]
+    prices += [None, float("nan"), float("inf"), float("-inf"), 1e300, -1e300, 50.0]
+    held = [(0, None, None), (1, None, 10.0), (2, 90.0, None), (3, 50.0, 50.0), (4, 60.0, 40.0), (5, float("nan"), 10.0), (1, 20.0, 30.0)]
+    held += [(6 + i, lo, lo + rng.choice((0.5, 5.0, 60.0))) for i, lo in enumerate(float(rng.randrange(100)) for _ in range(60))]
+    points = spark.createDataFrame([(p, i % 7) for i, p in enumerate(prices)], "price double, amount int")
+    table = spark.createDataFrame(held, "band int, band_low double, band_high double")
+    runs = bands.join_bands(points, table, sums=("amount",), cells=cells)
+    assert runs.columns == ["band", "band_low", "band_high", "n_points", "sum_amount"]
+    found = {r[0]: tuple(r)[1:] for r in runs.groupBy("band").agg(F.sum("n_points"), F.sum("sum_amount")).collect()}
+    amounts = dict(enumerate(i % 7 for i in range(len(prices))))
+    expected = {}
+    for b, lo, hi in held:
+        lo, hi = float("-inf") if lo is None or lo != lo else lo, float("inf") if hi is None else hi
+        for i, p in enumerate(prices):
+            if p is not None and lo <= p < hi:
+                n, total = expected.get(b, (0, 0))
+                expected[b] = n + 1, total + amounts[i]
+    assert found == expected
+
+
+def test_summed_bands_do_not_pair_prices_with_bands(spark):
+    points = spark.range(20_000).select((F.col("id") % 1000).cast("double").alias("price"))
+    table = spark.range(200).select(F.col("id").alias("band"), F.lit(0.0).alias("band_low"), (F.col("id") * 5.0).alias("band_high"))
+    assert bands.join_bands(points, table).count() == sum(20 * 5 * i for i in range(200))
+    assert bands.join_bands(points, table, sums=("price",)).count() <= 200 * 2 * 8
+
+
+def test_no_bands_to_sum(spark):
+    points = spark.createDataFrame([(1.0,)], "price double")
+    schema = "band int, band_low double, band_high double"
+    assert bands.join_bands(points, spark.createDataFrame([], schema), sums=("price",)).count() == 0
+    (row,) = bands.join_bands(points, spark.createDataFrame([(1, None, None)], schema), sums=("price",)).collect()
+    assert tuple(row) == (1, None, None, 1, 1.0)
+
+
+def test_ordered_files_are_as_many_as_the_lines_ask_for(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(extended_queries, "ROWS_OF_FILE", 500)
+    monkeypatch.setattr(extended_queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    data = Data(spark, FOLDER)
+    assert extended_queries._file_order(data).count() == cleaning.dedupe_first(data.bids, data.row_order).count()
+    assert len(list(tmp_path.glob("ordered/*.csv"))) > 8
+
+
 # -- history ------------------------------------------------------------------------
 
 
