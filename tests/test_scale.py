@@ -1,6 +1,8 @@
 """Distributed forms against brute force on skewed fixtures, and plan checks."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import FOLDER
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from farelens.operators import (
 from farelens.operators.scoring import score_logistic, score_model
 from farelens.plans.data import Data
 from farelens.session import scratch_path
+from farelens.sources import bids
 from farelens.sources.bids import bids_view
 
 NAMES = ("price_increase_pct", "distance_km", "driver_acceptance_rate", "is_peak_hour")
@@ -201,3 +204,27 @@ def test_quantiles_read_stored_scores(spark):
     df = spark.range(2000).select(counted("id").alias("probability"))
     assert statistics.prob_quantiles(df).first()["median"] == 999.5
     assert calls.value == 2000
+
+
+def test_splits_without_rows_leave_no_core_idle(spark, tmp_path):
+    """A file of two row groups in more splits than cores: most splits begin inside a group and are empty."""
+    table = pa.table({"order_id": range(20_000), "line_no": [1] * 20_000, "noise": [f"{i * i:x}" for i in range(20_000)]})
+    pq.write_table(table, tmp_path / "lines.parquet", row_group_size=10_000)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = spark.read.parquet(str(tmp_path / "lines.parquet"))
+        cores, splits = spark.sparkContext.defaultParallelism, lines.rdd.getNumPartitions()
+        assert splits >= cores
+        dealt = bids.spread_if_few(lines, "order_id", "line_no")
+        held = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(held) == splits and sum(held) == 20_000
+        assert dealt.agg(F.countDistinct("order_id")).first()[0] == 20_000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    even = spark.range(0, 20_000, 1, 8).withColumnRenamed("id", "order_id")
+    assert bids.spread_if_few(even, "order_id") is even
+    none = even.filter("order_id < 0")
+    assert bids.spread_if_few(none, "order_id") is none
