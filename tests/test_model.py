@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import FOLDER
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from farelens.operators import modelling, orders
@@ -58,3 +59,22 @@ def test_model_sweep_uses_the_whole_grid(spark, monkeypatch):
     expected = flat_recommendation(recommendation(swept))
     got = QUERIES["score_fn"](spark, FOLDER)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+
+
+def test_trees_score_the_calibration_rows_once(spark):
+    """One pass counts the classes, one scores the rows; the regression's own passes read the scores."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(label):
+        seen.add(1)
+        return label
+
+    n = F.col("id")
+    rows = spark.range(400).select((n % 7 % 2).cast("double").alias("label"), (n % 13).cast("double").alias("x"))
+    settings = modelling.TreeSettings(iterations=2, depth=2)
+    trees = modelling.train_classifier(rows, features=("x",), settings=settings)
+    model = modelling.calibrate_sigmoid(trees, rows.withColumn("label", counted.asNondeterministic()("label")))
+    assert seen.value == 2 * 400
+    plain = modelling.calibrate_sigmoid(trees, rows)
+    assert model.stages[-1].intercept == plain.stages[-1].intercept
