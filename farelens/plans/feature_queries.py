@@ -9,7 +9,7 @@ from farelens.operators.modelling import feature_table
 from farelens.operators.scoring import score_logistic
 from farelens.plans import oracle_views as o
 from farelens.plans.data import Data
-from farelens.plans.registry import query, rounded
+from farelens.plans.registry import query, quick_round, rounded
 
 K = o.KEY
 _KK = ("k_order_id", "k_copy_no", "k_line_no", "k_driver_id", "k_part_id", "k_ext")
@@ -126,4 +126,6 @@ def _clip_sigma(d: Data) -> DataFrame:
 def _feature_table(d: Data) -> DataFrame:
     """All 130 columns, imputed and clipped."""
     table = feature_table(d.features, features.ALL_FEATURES)
-    return rounded(table.select(*_KK, *features.ALL_FEATURES), 4)
+    doubles = {f.name for f in table.schema.fields if f.dataType.typeName() == "double"}
+    columns = [quick_round(F.col(c), 4).alias(c) if c in doubles else c for c in (*_KK, *features.ALL_FEATURES)]
+    return table.select(*columns)

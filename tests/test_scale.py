@@ -19,6 +19,7 @@ from farelens.operators import (
 )
 from farelens.operators.scoring import score_logistic, score_model
 from farelens.plans.data import Data
+from farelens.plans.registry import quick_round
 from farelens.session import scratch_path
 from farelens.sources import bids
 from farelens.sources.bids import bids_view
@@ -130,6 +131,38 @@ def test_statistics_after_filling(spark):
     assert s.high == pytest.approx(filled.mean() + 10 * filled.std(ddof=1))
 
 
+def test_moments_make_no_row_per_value(spark, monkeypatch):
+    """Values are folded where they are; gaps, infinite values, a large offset and a column without spread."""
+    rng = np.random.default_rng(5)
+    x = 1e9 + rng.normal(size=3000)
+    odd = {0: None, 1: float("nan"), 2: float("inf"), 3: float("-inf")}
+    rows = [(odd.get(i % 10, float(v)), 0.1, None, i) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "x double, same double, empty double, whole long").repartition(7)
+    monkeypatch.setattr(statistics.F, "posexplode", None)
+    n, found = statistics.column_moments(df, df.columns)
+    kept = x[np.arange(3000) % 10 > 3]
+    assert n == 3000 and found["x"].n == kept.size
+    assert found["x"].mean == pytest.approx(kept.mean(), rel=1e-14)
+    assert found["x"].squares == pytest.approx(((kept - kept.mean()) ** 2).sum(), rel=1e-6)
+    assert (found["same"].n, found["same"].mean, found["same"].squares) == (3000, 0.1, 0.0)
+    assert found["empty"].n == 0 and found["whole"].mean == pytest.approx(1499.5)
+    assert statistics.column_moments(df.limit(0), ["x"])[0] == 0
+
+
+def test_quick_round_is_round(spark):
+    """The same bits, near the middle of two steps, beyond what arithmetic is exact for, and for odd values."""
+    rng = np.random.default_rng(6)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, -1e-5, 5e-5, -5e-5, 1.00005, 99999.99995, 1e5, 1e15, -1e308]
+    middles = [float(k + 0.5) / 1e4 for k in range(-3000, 3000)]
+    free = rng.uniform(-2e5, 2e5, 3000).tolist() + [round(v, 5) for v in rng.uniform(-9, 9, 3000).tolist()]
+    df = spark.createDataFrame([(v,) for v in odd + middles + free], "x double")
+    for digits in (4, 6):
+        both = df.select(F.round("x", digits).alias("a"), quick_round(F.col("x"), digits).alias("b"))
+        bits = [np.array([np.nan if v is None else v for v in c]).tobytes() for c in zip(*both.collect())]
+        assert bits[0] == bits[1]
+        assert both.filter("a IS NULL").count() == both.filter("b IS NULL").count() == 1
+
+
 def test_dedupe_limits_groups_before_the_exchange(spark):
     df = cleaning.dedupe_first(bids_view(spark, FOLDER), ["copy_no", "line_no", "part_id", "ext"])
     plan = plan_of(df)
