@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from farelens.functions.missing import nan_to_null
 from farelens.schema import ORDER_DDL, RECOMMENDATION_DDL
 
+# Recommendations of one file at most.
+RECORDS_OF_FILE = 100_000
+
 
 def source_orders(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.schema(ORDER_DDL).json(path))
@@ -30,4 +33,6 @@ def recommendation_json() -> Column:
 
 
 def sink_recommendation_json(recommendations: DataFrame, path: str) -> None:
-    recommendations.write.mode("overwrite").json(path)
+    """JSON lines, packed: their field names are most of them. A packed file has one reader, so files end early."""
+    writer = recommendations.write.mode("overwrite").option("maxRecordsPerFile", RECORDS_OF_FILE)
+    writer.option("compression", "gzip").json(path)

@@ -10,6 +10,7 @@ from farelens.operators import cleaning, history, orders, pricing, quality, quot
 from farelens.operators.features import row_features
 from farelens.operators.scoring import Scorer
 from farelens.schema import BID_FIELDS
+from farelens.sources import orders as order_source
 
 BID_DDL = "row_id long, " + ", ".join(f"{k} {v}" for k, v in BID_FIELDS.items())
 
@@ -189,3 +190,13 @@ def test_display_rules(spark):
     one = spark.range(1)
     snap = display.snap_to_step(F.lit(132.5), F.lit(5.0), F.lit(0.0), F.lit(134.0))
     assert one.select(snap).first()[0] == 134.0
+
+
+def test_recommendations_are_written_packed(spark, monkeypatch, tmp_path):
+    """Packed files of few records, one reader each; what is read again is what was written."""
+    monkeypatch.setattr(order_source, "RECORDS_OF_FILE", 2, raising=False)
+    rows = spark.range(5).coalesce(1).selectExpr("id AS order_id", "'Приора' AS name", "array(id, NULL) AS zones")
+    order_source.sink_recommendation_json(rows, str(tmp_path / "out"))
+    assert len(list(tmp_path.glob("out/*.json.gz"))) == 3
+    again = spark.read.schema(rows.schema).json(str(tmp_path / "out"))
+    assert again.exceptAll(rows).count() == 0 and again.count() == 5
