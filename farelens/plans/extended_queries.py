@@ -15,6 +15,7 @@ from farelens.schema import BID_FIELDS
 from farelens.session import scratch_path
 from farelens.sources import checked_bids
 from farelens.sources import history as history_source
+from farelens.sources.bids import bids_of
 
 # -- bad records and file order ----------------------------------------------
 
@@ -73,13 +74,18 @@ def _scan_rejects(d: Data) -> DataFrame:
 ROWS_OF_FILE = 500_000
 
 
+def ordered_bids(d: Data, files: int) -> DataFrame:
+    """Bids in as many ranges of orders as there are files; lines are placed while they are narrow."""
+    own = [c for c in KEY if c not in BID_FIELDS]
+    rows = bids_of(d.lines.repartitionByRange(files, "order_id")).select(*own, *BID_FIELDS)
+    return rows.sortWithinPartitions("order_id", *d.row_order)
+
+
 @query("file_order", f"SELECT {', '.join(KEY)}, is_done FROM marked WHERE NOT exact_duplicate")
 def _file_order(d: Data) -> DataFrame:
     """First of each group of copies by the order of lines in files, which are as good as one big file each."""
     path = scratch_path(d.spark, "ordered")
-    own = [c for c in KEY if c not in BID_FIELDS]
-    files = max(4, d.lines.count() // ROWS_OF_FILE)
-    rows = d.kept_bids.select(*own, *BID_FIELDS).repartitionByRange(files, "order_id").sortWithinPartitions("order_id", *d.row_order)
+    rows = ordered_bids(d, max(4, d.lines.count() // ROWS_OF_FILE))
     rows.write.option("header", True).option("timestampFormat", _TIME_FORMAT).csv(path)
     checked = checked_bids.readable_bids(checked_bids.scan_bids_checked(d.spark, path))
     first = cleaning.dedupe_first(checked, checked_bids.FILE_ORDER)

@@ -224,6 +224,18 @@ def test_ordered_files_are_as_many_as_the_lines_ask_for(spark, monkeypatch, tmp_
     assert len(list(tmp_path.glob("ordered/*.csv"))) > 8
 
 
+def test_lines_are_placed_in_files_while_narrow(spark):
+    """The exchange carries no column that bids only get from their lines; the order in files is that of all bids."""
+    data = Data(spark, FOLDER)
+    rows = extended_queries.ordered_bids(data, 3)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange rangepartitioning") :]
+    assert "disc" in below and not any(c in below for c in ("carname", "tender_timestamp", "distance_in_meters"))
+    keys = ["order_id", *data.row_order]
+    placed = [tuple(r) for r in rows.select(*keys).collect()]
+    assert placed == [tuple(r) for r in data.bids.select(*keys).orderBy(*keys).collect()]
+
+
 # -- history ------------------------------------------------------------------------
 
 
