@@ -88,9 +88,9 @@ def _file_order(d: Data) -> DataFrame:
     rows = ordered_bids(d, max(4, d.lines.count() // ROWS_OF_FILE))
     rows.write.option("header", True).option("timestampFormat", _TIME_FORMAT).csv(path)
     checked = checked_bids.readable_bids(checked_bids.scan_bids_checked(d.spark, path))
-    first = cleaning.dedupe_first(checked, checked_bids.FILE_ORDER)
-    types = dict(d.bids.select(*KEY).dtypes)
-    return first.select(*[F.col(c).cast(types[c]).alias(c) for c in KEY], "is_done")
+    types = dict(d.kept_bids.select(*KEY).dtypes)
+    typed = checked.withColumns({c: F.col(c).cast(types[c]) for c in KEY})
+    return cleaning.dedupe_first(typed, checked_bids.FILE_ORDER).select(*KEY, "is_done")
 
 
 # -- cleaning with its report ------------------------------------------------
